@@ -6,7 +6,7 @@ import importlib
 
 from assay.plans.registry import ENTRIES, Entry
 
-MODULES = ("metrics",)
+MODULES = ("metrics", "ranking", "calibration")
 
 
 def load_entries() -> dict[str, Entry]:
