@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.text import strip
 from assay.vocab import PAIRWISE_LABELS, PROVENANCES, SPLITS, STATUSES, lit_array
 
 
@@ -35,7 +36,7 @@ def _row_rules(df: DataFrame, key: Column, rules: Mapping[str, tuple[Column, str
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | (strip(c) == "")
 
 
 def normalize_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -205,7 +206,7 @@ def check_task_rows(df: DataFrame, slots: Sequence[str] = (), labels: Sequence[s
     number = F.expr("try_cast(`index` AS BIGINT)")
     rules = {
         "index": (number.isNull() | (number < 0), "index must be a non-negative integer"),
-        "answer": (~F.trim("answer").isin(*labels) | F.col("answer").isNull(), "unsupported answer label"),
+        "answer": (~strip(F.col("answer")).isin(*labels) | F.col("answer").isNull(), "unsupported answer label"),
         "text": (blank(F.col("text")), "text must be non-empty"),
     }
     for slot in slots:
@@ -221,16 +222,16 @@ def check_code_rows(df: DataFrame) -> DataFrame:
     """VAL12: required code-task fields are non-blank and task_id is unique after trimming."""
     rules = {f: (blank(F.col(f)), f"{f} must be a non-empty string") for f in CODE_FIELDS}
     return _row_rules(df, F.col("task_id"), rules).unionByName(
-        check_unique(df.select(F.trim("task_id").alias("task_id")), ["task_id"])
+        check_unique(df.select(strip(F.col("task_id")).alias("task_id")), ["task_id"])
     )
 
 
 def normalize_code_rows(df: DataFrame) -> DataFrame:
     """VAL12: trimmed identifiers, one row per task, ordered by task_id."""
     return df.select(
-        F.trim("task_id").alias("task_id"),
+        strip(F.col("task_id")).alias("task_id"),
         "prompt",
-        F.trim("entry_point").alias("entry_point"),
+        strip(F.col("entry_point")).alias("entry_point"),
         "canonical_solution",
         "test",
     ).orderBy("task_id")

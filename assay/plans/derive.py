@@ -210,3 +210,35 @@ def slices() -> dict[str, Column]:
 
 def labels_of(judges=JUDGES) -> Column:
     return lit_array([j for j, _ in judges])
+
+
+# --- responses ----------------------------------------------------------------
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Free-form provider answers stating the derived labels in four styles."""
+    rows = scored(spark, sf).select(
+        "record_id", "judge_id", "mode", F.coalesce("label", F.lit("none")).alias("said")
+    )
+    rows = rows.withColumn("style", F.floor(hash_unit(42, "style", F.col("judge_id"), F.col("record_id")) * 4).cast("int"))
+    said, style = F.col("said"), F.col("style")
+    text = (
+        F.when(style == 0, F.concat(F.lit('{"label": "'), F.upper(said), F.lit('"}')))
+        .when(
+            style == 1,
+            F.concat(
+                F.lit('note {"result": {"verdict": {"choice": "'), said, F.lit('"}}, "model": "m-'), "judge_id", F.lit('"} end')
+            ),
+        )
+        .when(style == 2, F.concat(F.lit("I thought fail or B first; LABEL: "), said, F.lit(" it is.")))
+        .otherwise(F.concat(F.lit('{"label": "maybe"} {"value": "'), said, F.lit('"')))
+    )
+    return rows.withColumn("text", text)
+
+
+RESP = f"""rp0 AS (SELECT record_id, judge_id, mode, coalesce(label,'none') AS said,
+  floor({unit_sql("'42:style:'||judge_id||':'||record_id")}*4)::INT AS style FROM sc),
+rp AS (SELECT *, CASE style WHEN 0 THEN '{{"label": "'||upper(said)||'"}}'
+  WHEN 1 THEN 'note {{"result": {{"verdict": {{"choice": "'||said||'"}}}}, "model": "m-'||judge_id||'"}} end'
+  WHEN 2 THEN 'I thought fail or B first; LABEL: '||said||' it is.'
+  ELSE '{{"label": "maybe"}} {{"value": "'||said||'"' END AS text FROM rp0)"""
