@@ -16,6 +16,13 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
+def attach(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-group values back; without groups ``right`` is one row of scalars."""
+    if by:
+        return left.join(right, list(by), how)
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+
+
 # --- label metrics -----------------------------------------------------------
 
 
@@ -188,7 +195,7 @@ def classification_report(
     """AGG7: label and probability metrics side by side for every slice in ``by``."""
     left = label_metrics(df, by, labels)
     right = probability_metrics(df, by, classes, bins, missing)
-    return left.join(right, list(by))
+    return attach(left, right, by)
 
 
 def reliability(df: DataFrame, by: Sequence[str], classes: Column, bins: int = 10) -> DataFrame:
@@ -285,7 +292,7 @@ def quantiles(
     counted = counted.groupBy(*by, "_x").agg(F.count("*").alias("_n"))
     ranked = running_totals(counted, by, [F.col("_x").asc()], {"_hi": F.col("_n")})
     size = ranked.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    rows = ranked.join(size, list(by))
+    rows = attach(ranked, size, by)
 
     def at(index: Column) -> Column:
         inside = (F.col("_hi") - F.col("_n") <= index) & (index < F.col("_hi"))
@@ -329,7 +336,7 @@ def latency_summary(df: DataFrame, by: Sequence[str], method: str = "linear") ->
         F.count(ms).alias("count"), F.avg(ms).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms")
     )
     ranks = quantiles(df, by, F.col("latency_ms"), {"median_ms": 0.5, "p95_ms": 0.95}, method)
-    return plain.join(ranks, list(by), "left")
+    return attach(plain, ranks, by, "left")
 
 
 def count_by(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -469,11 +476,11 @@ def majority_baseline(df: DataFrame, by: Sequence[str], label: str = "gold") ->
         F.max("_n").alias("_top"),
         F.min(F.struct((-F.col("_n")).alias("k"), F.col("_l").alias("l")))["l"].alias("label"),
     )
-    ties = counts.join(best, list(by)).filter(F.col("_n") == F.col("_top")).groupBy(*by).agg(
+    ties = attach(counts, best, by).filter(F.col("_n") == F.col("_top")).groupBy(*by).agg(
         (F.count("*") > 1).alias("tie")
     )
     accuracy_ = ratio(F.col("_top"), F.col("count"))
-    return best.join(ties, list(by)).withColumns(
+    return attach(best, ties, by).withColumns(
         {
             "accuracy": accuracy_,
             "balanced_accuracy": 1 / F.col("classes").cast("double"),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions.stats import mcnemar_exact, wilson
-from assay.operators.metrics import disagreement, ratio
+from assay.operators.metrics import attach, disagreement, ratio
 from assay.operators.running import running_totals
 from assay.vocab import TARGET_ERRORS
 
@@ -29,7 +29,7 @@ def ranked_by_confidence(df: DataFrame, by: Sequence[str]) -> DataFrame:
         rows, by, order, {"rank": F.lit(1).cast("bigint"), "hits": F.col("correct").cast("bigint")}
     )
     size = ranked.groupBy(*by).agg(F.max("rank").alias("size"))
-    return ranked.join(size, list(by))
+    return attach(ranked, size, by)
 
 
 def risk_coverage(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -129,7 +129,7 @@ def select_threshold(df: DataFrame, by: Sequence[str], targets: Sequence[float]
         F.max_by(point, F.col("threshold")).alias("_first"),
     )
     chosen = F.coalesce("_in", "_first")
-    out = best.join(size, list(by)).select(
+    out = attach(best, size, by).select(
         *by, "target_error", chosen.alias("_c"), "candidate_count", "size"
     ).select(*by, "target_error", "_c.*", "candidate_count", "size")
     interval = wilson(F.col("error_count"), F.col("accepted_count"), "unit")
