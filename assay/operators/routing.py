@@ -12,7 +12,7 @@ from assay.functions.stats import wilson
 from assay.operators.metrics import attach, classification_report, latency_summary, ratio, resource_usage
 from assay.operators.ranking import target_coverage
 from assay.operators.running import row_numbers
-from assay.session import collect_bounded
+from assay.session import collect_bounded, cut_lineage
 from assay.vocab import TARGET_ERRORS
 
 
@@ -226,6 +226,7 @@ def policy_report(
 ) -> DataFrame:
     """AGG33: one wide row per policy: routing, label and probability metrics, latency, cost, coverage."""
     keyed = routed.withColumn("_key", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in by]))
+    keyed = cut_lineage(keyed)  # read by every part of the report
     key = ["_key"]
     summary = routing_summary(keyed, [*by, "_key"])
     resolved = keyed.filter(F.col("final_label").isNotNull()).withColumn("label", F.col("final_label"))

@@ -6,7 +6,7 @@ import importlib
 
 from assay.plans.registry import ENTRIES, Entry
 
-MODULES = ("metrics", "ranking", "calibration", "rules", "splits", "scalar", "records", "retrieval", "routing")
+MODULES = ("metrics", "ranking", "calibration", "rules", "splits", "scalar", "records", "retrieval", "routing", "ledger")
 
 
 def load_entries() -> dict[str, Entry]:
