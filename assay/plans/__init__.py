@@ -6,7 +6,21 @@ import importlib
 
 from assay.plans.registry import ENTRIES, Entry
 
-MODULES = ("metrics", "ranking", "calibration", "rules", "splits", "scalar", "records", "retrieval", "routing", "ledger")
+MODULES = (
+    "metrics",
+    "ranking",
+    "calibration",
+    "rules",
+    "splits",
+    "scalar",
+    "records",
+    "retrieval",
+    "routing",
+    "ledger",
+    "stream",
+    "learned",
+    "files",
+)
 
 
 def load_entries() -> dict[str, Entry]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import calibration as C
 from assay.plans import derive as D
-from assay.plans.metrics import MODE, rounded
+from assay.plans.metrics import mode_classes, rounded
 from assay.plans.registry import query
 
 # An artifact for the queries that only apply a calibration.
@@ -44,7 +44,7 @@ _NLL = """CASE WHEN mode='single' THEN
  round(least(min(nll),max(nll) FILTER (t=1.0)),5) AS nll_after, max(n) AS fit_rows FROM gr GROUP BY ALL""",
 )
 def temperature_fit(spark, sf):
-    model = C.fit_temperature(fit_rows(spark, sf), ["judge_id", "mode"], MODE)
+    model = C.fit_temperature(fit_rows(spark, sf), ["judge_id", "mode"], mode_classes())
     return model.select(
         "judge_id", "mode", F.round("nll_before", 9).alias("nll_before"), F.round("nll_after", 5).alias("nll_after"), "fit_rows"
     )
@@ -62,7 +62,7 @@ _TEMP = """tp AS (SELECT *, CASE mode WHEN 'single' THEN 1.7::DOUBLE ELSE 0.6::D
     + " SELECT judge_id, record_id, round(p1,9) AS p1, round(p2,9) AS p2, round(p3,9) AS p3 FROM tq",
 )
 def temperature_applied(spark, sf):
-    out = C.apply_temperature(usable(spark, sf), mode_model(spark), ["mode"], MODE)
+    out = C.apply_temperature(usable(spark, sf), mode_model(spark), ["mode"], mode_classes())
     values = F.map_values("probabilities")
     return rounded(
         out.select("judge_id", "record_id", *[F.get(values, F.lit(i)).alias(f"p{i + 1}") for i in range(3)])
@@ -108,8 +108,8 @@ def platt_applied(spark, sf):
 @query("CAL5")
 def calibrators_by_mode(spark, sf):
     rows = fit_rows(spark, sf).filter("judge_id = 'b'")
-    model = C.fit_by_mode(rows, MODE, ["single", "pairwise"])
-    out = C.apply_temperature(usable(spark, sf).filter("judge_id = 'b'"), model, ["mode"], MODE)
+    model = C.fit_by_mode(rows, mode_classes(), ["single", "pairwise"])
+    out = C.apply_temperature(usable(spark, sf).filter("judge_id = 'b'"), model, ["mode"], mode_classes())
     values = F.map_values("probabilities")
     return rounded(out.select("record_id", "mode", "label", "calibrated", F.array_max(values).alias("confidence")))
 
@@ -121,7 +121,7 @@ def calibrators_by_mode(spark, sf):
  WHEN p1>=p2 AND p1>=p3 THEN 'A' WHEN p2>=p3 THEN 'B' ELSE 'TIE' END AS label, round(ln(greatest(p1,p2,coalesce(p3,0))),9) AS top_score FROM tq""",
 )
 def calibrated_labels(spark, sf):
-    out = C.relabel(C.apply_temperature(usable(spark, sf), mode_model(spark), ["mode"], MODE), MODE)
+    out = C.relabel(C.apply_temperature(usable(spark, sf), mode_model(spark), ["mode"], mode_classes()), mode_classes())
     return rounded(
         out.select("judge_id", "record_id", "label", F.array_max(F.map_values("raw_scores")).alias("top_score"))
     )
@@ -154,5 +154,5 @@ def _view(name: str, source: str) -> str:
 )
 def calibration_before_after(spark, sf):
     raw = usable(spark, sf).select("judge_id", "mode", "gold", "label", "probabilities")
-    calibrated = C.apply_temperature(raw, mode_model(spark), ["mode"], MODE)
-    return rounded(C.calibration_report(raw, calibrated, ["judge_id", "mode"], MODE))
+    calibrated = C.apply_temperature(raw, mode_model(spark), ["mode"], mode_classes())
+    return rounded(C.calibration_report(raw, calibrated, ["judge_id", "mode"], mode_classes()))

@@ -30,7 +30,9 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
     return sliced(spark, sf).filter("resolved = 1")
 
 
-MODE = class_order(F.col("mode"))
+def mode_classes():
+    """Class order of each row, by its judgment mode."""
+    return class_order(F.col("mode"))
 
 _WILSON = (
     "round(greatest(0,({k}::DOUBLE/{n}+z2/(2*{n}))/(1+z2/{n})-z*sqrt({k}::DOUBLE/{n}*(1-{k}::DOUBLE/{n})/{n}"
@@ -134,7 +136,7 @@ _ECE = """eb AS (SELECT judge_id, slice, slice_value, bin, count(conf) AS m, avg
     " FROM tm GROUP BY ALL",
 )
 def brier_score(spark, sf):
-    return rounded(M.brier(resolved(spark, sf), KEYS, MODE))
+    return rounded(M.brier(resolved(spark, sf), KEYS, mode_classes()))
 
 
 @query(
@@ -143,7 +145,7 @@ def brier_score(spark, sf):
     + " SELECT judge_id, slice, slice_value, round(avg(nt),9) AS nll FROM tm GROUP BY ALL",
 )
 def negative_log_likelihood(spark, sf):
-    return rounded(M.nll(resolved(spark, sf), KEYS, MODE, missing="drop"))
+    return rounded(M.nll(resolved(spark, sf), KEYS, mode_classes(), missing="drop"))
 
 
 @query(
@@ -151,7 +153,7 @@ def negative_log_likelihood(spark, sf):
     D.scored_with(D.SLICED, _RES, _TERMS, _ECE) + " SELECT judge_id, slice, slice_value, round(ece,9) AS ece FROM ec",
 )
 def expected_calibration_error(spark, sf):
-    return rounded(M.ece(resolved(spark, sf), KEYS, MODE, missing="drop"))
+    return rounded(M.ece(resolved(spark, sf), KEYS, mode_classes(), missing="drop"))
 
 
 @query(
@@ -173,7 +175,7 @@ def expected_calibration_error(spark, sf):
  FROM lm JOIN pm USING (judge_id,slice,slice_value) JOIN ec USING (judge_id,slice,slice_value)""",
 )
 def classification_report(spark, sf):
-    return rounded(M.classification_report(resolved(spark, sf), KEYS, MODE))
+    return rounded(M.classification_report(resolved(spark, sf), KEYS, mode_classes()))
 
 
 @query(
@@ -191,7 +193,7 @@ def classification_report(spark, sf):
  FROM gb LEFT JOIN rb USING (judge_id,slice,slice_value,bin)""",
 )
 def reliability_table(spark, sf):
-    return rounded(M.reliability(resolved(spark, sf), KEYS, MODE))
+    return rounded(M.reliability(resolved(spark, sf), KEYS, mode_classes()))
 
 
 @query(

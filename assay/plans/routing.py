@@ -12,7 +12,7 @@ from assay.operators import ranking as R
 from assay.operators import routing as P
 from assay.plans import derive as D
 from assay.plans.calibration import _TEMP, mode_model
-from assay.plans.metrics import _PAIRS, KEYS, MODE, ZSQL, rounded, sliced, wilson_sql
+from assay.plans.metrics import _PAIRS, KEYS, ZSQL, mode_classes, rounded, sliced, wilson_sql
 from assay.plans.ranking import _RANK, _TESTS, TARGETS, TSQL
 from assay.plans.registry import query
 
@@ -25,7 +25,7 @@ def student(spark, sf):
     raw = rows.withColumns(
         {"raw_confidence": F.array_max(F.map_values("probabilities")), "_raw": F.col("probabilities")}
     )
-    out = C.apply_temperature(raw, mode_model(spark), ["mode"], MODE)
+    out = C.apply_temperature(raw, mode_model(spark), ["mode"], mode_classes())
     return out.select(
         *[c for c in rows.columns if c != "probabilities"],
         F.col("_raw").alias("probabilities"),
@@ -193,7 +193,7 @@ def routing_by_domain(spark, sf):
  FROM sm JOIN pq ON pq.policy=sm.policy AND pq.target_error IS NOT DISTINCT FROM sm.target_error JOIN pt ON pt.policy=sm.policy AND pt.target_error IS NOT DISTINCT FROM sm.target_error""",
 )
 def policy_report(spark, sf):
-    wide = P.policy_report(routed(spark, sf), ["policy", "target_error"], MODE, TARGETS)
+    wide = P.policy_report(routed(spark, sf), ["policy", "target_error"], mode_classes(), TARGETS)
     return rounded(
         wide.select(
             "policy",
