@@ -15,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def citation_slug(c: Column) -> Column:
     """FN6: comparable slug of a citation in display or slug form."""
     text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "§", " ")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.text import strip
+from assay.functions.text import let, strip
 
 Check = Callable[[Column, Column], Column]
 
@@ -21,23 +21,21 @@ def canonical_number(c: Column) -> Column:
     Plain decimals are compared as digit strings, so their length is not bound
     by a decimal type; exponents go through ``decimal(38,18)`` or double.
     """
-    text = F.regexp_replace(strip(c.cast("string")), ",", "")
-
     def spell(x: Column) -> Column:
         whole = F.regexp_replace(F.regexp_extract(x, r"^[+-]?([0-9]*)", 1), "^0+", "")
         part = F.regexp_replace(F.regexp_extract(x, r"\.([0-9]*)", 1), "0+$", "")
-        digits = F.concat(
-            F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part))
-        )
-        return F.when(F.startswith(x, F.lit("-")) & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
-
-    wide = F.when(F.rlike(text, F.lit(_SCIENTIFIC)), text)
-    exact = wide.try_cast("decimal(38,18)")
-    return (
-        F.when(F.rlike(text, F.lit(_PLAIN)), spell(text))
-        .when(exact.isNotNull(), spell(exact.cast("string")))
-        .otherwise(wide.try_cast("double").cast("string"))
-    )
+        digits = F.concat_ws(".", F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")), F.nullif(part, F.lit("")))
+        signed = lambda d: F.when(F.startswith(x, F.lit("-")) & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d)
+        return let(digits, signed)
+
+    def scientific(x: Column) -> Column:
+        exact = x.try_cast("decimal(38,18)")
+        return F.when(exact.isNotNull(), spell(exact.cast("string"))).otherwise(x.try_cast("double").cast("string"))
+
+    def read(x: Column) -> Column:
+        return F.when(F.rlike(x, F.lit(_PLAIN)), spell(x)).when(F.rlike(x, F.lit(_SCIENTIFIC)), scientific(x))
+
+    return let(F.regexp_replace(strip(c.cast("string")), ",", ""), read)
 
 
 def choice_letter(c: Column) -> Column:

@@ -133,19 +133,21 @@ def judge_pairs(
         .groupBy(*by, *[f"_j{i}" for i in range(len(names))])
         .agg(F.count("*").alias("_n"))
     )
-    cells = [
-        F.struct(
-            F.lit(names[a]).alias("left"),
-            F.lit(names[b]).alias("right"),
-            F.col(f"_j{a}").alias("left_outcome"),
-            F.col(f"_j{b}").alias("right_outcome"),
+    seen = F.filter(
+        F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"_j{i}").alias("o")) for i, j in enumerate(names)]),
+        lambda x: x["o"].isNotNull(),
+    )
+
+    def with_later(x, i):
+        return F.transform(
+            F.slice(seen, i + 2, F.size(seen)),
+            lambda y: F.struct(
+                x["j"].alias("left"), y["j"].alias("right"), x["o"].alias("left_outcome"), y["o"].alias("right_outcome")
+            ),
         )
-        for a in range(len(names))
-        for b in range(a + 1, len(names))
-    ]
+
     return (
-        patterns.select(*by, "_n", F.inline(F.array(*cells)))
-        .filter(F.col("left_outcome").isNotNull() & F.col("right_outcome").isNotNull())
+        patterns.select(*by, "_n", F.inline(F.flatten(F.transform(seen, with_later))))
         .groupBy(*by, "left", "right", "left_outcome", "right_outcome")
         .agg(F.sum("_n").alias("n"))
     )

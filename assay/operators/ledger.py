@@ -214,7 +214,7 @@ def run_ledger(results: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 
 def ledger_findings(ledger: DataFrame) -> DataFrame:
-    """AGG37: repository-wide counts in long form (section, key, metric, value), one pass plus run-id reuse."""
+    """AGG37: repository-wide counts in long form (section, key, metric, value), in one pass."""
     one = F.lit(1).cast("bigint")
 
     def cell(section: str, key: Column, metric: str, value: Column) -> Column:
@@ -251,16 +251,16 @@ def ledger_findings(ledger: DataFrame) -> DataFrame:
         F.map_entries("status_counts"), lambda e: cell("status_totals", e["key"], "count", e["value"])
     )
     provider = F.when(F.col("provider").isNotNull(), cell("providers", F.col("provider"), "rows", one))
-    everything = F.concat(F.array(*cells), statuses, F.array_compact(F.array(provider)))
+    run = F.when(F.col("run_id").isNotNull(), cell("reused_run_ids", F.col("run_id"), "experiments", one))
+    run = run.withField("metric", experiment)
+    everything = F.concat(F.array(*cells), statuses, F.array_compact(F.array(provider, run)))
     sums = ledger.select(F.inline(everything)).groupBy("section", "key", "metric").agg(F.sum("value").alias("value"))
-    reused = (
-        ledger.filter(F.col("run_id").isNotNull())
-        .groupBy(F.col("run_id").alias("key"))
-        .agg(F.count_distinct("experiment").alias("value"))
-        .filter("value > 1")
-        .select(F.lit("reused_run_ids").alias("section"), "key", F.lit("experiments").alias("metric"), "value")
-    )
-    return sums.unionByName(reused)
+    # a run id has one row per experiment by now; its reuse is the number of those rows
+    reuse = F.col("section") == "reused_run_ids"
+    metric = F.when(reuse, "experiments").otherwise(F.col("metric"))
+    value = F.when(F.first("section") == "reused_run_ids", F.count("*")).otherwise(F.sum("value"))
+    out = sums.groupBy("section", "key", metric.alias("metric")).agg(value.alias("value"))
+    return out.filter(~reuse | (F.col("value") > 1))
 
 
 def created_range(ledger: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions.identity import case_key, content_id, hash_is_even, hash_mod
-from assay.functions.text import norm_id, strip
+from assay.functions.text import let, norm_id, strip
 from assay.functions.verifiers import DOMAIN_OF_VERIFIER, canonical_number, verify
 from assay.operators.metrics import invert_label
 from assay.operators.rules import check_isolation, check_training, check_unique, enforce
@@ -196,7 +196,7 @@ def final_answer(answer: Column) -> Column:
     """Number after ``####`` as a plain decimal without trailing zeros."""
     raw = F.regexp_extract(answer, r"(?U)####\s*([^\s]+)", 1)
     value = canonical_number(F.regexp_replace(raw, "[,$]", ""))
-    return fail_when(value.isNull(), "answer has no numeric final answer", value)
+    return let(value, lambda v: fail_when(v.isNull(), "answer has no numeric final answer", v))
 
 
 def numeric_pair(df: DataFrame, dataset: str = "gsm8k") -> DataFrame:

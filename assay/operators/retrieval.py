@@ -239,6 +239,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATE_LIMIT) -
     n, avg_len = size.select("n").scalar(), size.select("avg_len").scalar()
     words = queries.select("source", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     matched = postings.join(words.select("term").distinct(), "term", "left_semi")
+    matched = cut_lineage(matched)  # postings of the query terms, read by every later step
     weights = words.join(inverse_frequency(matched, n).select("term", "idf"), "term")
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
     matched = matched.withColumn("_avg", avg_len).select("doc", "term", impact.alias("impact"))

@@ -12,7 +12,7 @@ from assay.sources.readers import parse_object
 
 
 def _order_paths(spark, sf):
-    o = D.table(spark, sf, "orders")
+    o = D.spread_table(spark, sf, "orders", "*")
     key, prio = F.col("o_orderkey").cast("string"), F.substring("o_orderpriority", 1, 1)
     base = F.concat(F.lit("experiments/EXP-20260101-"), F.lpad(F.pmod("o_custkey", F.lit(1000)).cast("string"), 3, "0"), F.lit("-demo/"))
     tail = (

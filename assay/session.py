@@ -48,6 +48,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_INPUT_PARTITIONS = 16
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Cut a small scan into as many partitions as there are cores.
+
+    A single small file is one task whatever the cluster size, which starves
+    costly row-wise work. Inputs of more than a few partitions pass unchanged,
+    so nothing large is ever shuffled for this. Only for plain scans.
+    """
+    have = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if have < min(cores, SMALL_INPUT_PARTITIONS) else scan
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Bring a small table to the driver, failing instead of truncating."""
     rows = df.limit(limit + 1).collect()
