@@ -139,10 +139,9 @@ def softmax_at(probabilities: Column, temperature: Column, classes: Column) -> C
 def apply_temperature(df: DataFrame, model: DataFrame, by: Sequence[str], classes: Column) -> DataFrame:
     """CAL2/CAL5: calibrate rows that have both a model and a map; the others stay as they are.
 
-    Reads no labels. The model has one row per group, bounded by the fit.
+    Reads no labels. The model has one row per group; the planner broadcasts it when it is small.
     """
-    m = F.broadcast(model.select(*by, "temperature"))
-    joined = df.join(m, list(by), "left")
+    joined = df.join(model.select(*by, "temperature"), list(by), "left")
     usable = F.col("temperature").isNotNull() & F.col("probabilities").isNotNull()
     bad = F.raise_error("temperature must be positive").cast("map<string,double>")
     tempered = F.when(F.col("temperature") <= 0, bad).otherwise(
@@ -233,7 +232,7 @@ def fit_platt(df: DataFrame, by: Sequence[str], positive: str, checked: bool = T
 
 def apply_platt(df: DataFrame, model: DataFrame, by: Sequence[str], negative: str, positive: str) -> DataFrame:
     """CAL4: sigmoid(slope * score + intercept) as a two-class map."""
-    joined = df.join(F.broadcast(model), list(by), "left")
+    joined = df.join(model, list(by), "left")
     score = log_odds(F.try_element_at("probabilities", F.lit(positive)))
     up = sigmoid(F.col("slope") * score + F.col("intercept"))
     usable = F.col("slope").isNotNull() & F.col("probabilities").isNotNull()
@@ -256,7 +255,7 @@ def fit_by_mode(df: DataFrame, classes: Column, modes: Sequence[str]) -> DataFra
     """CAL5: one temperature per mode; a mode without rows is marked unavailable."""
     fitted = fit_temperature(df, ["mode"], classes)
     wanted = df.sparkSession.createDataFrame([(m,) for m in modes], "mode string")
-    return F.broadcast(wanted).join(fitted, "mode", "left").withColumn(
+    return wanted.join(fitted, "mode", "left").withColumn(
         "status", F.when(F.col("temperature").isNull(), "unavailable").otherwise("fitted")
     )
 

@@ -670,8 +670,7 @@ def majority_judge(records: DataFrame, public: DataFrame, judge_id: str = "major
     counts = public.groupBy("mode", "gold").agg(F.count("*").alias("_n"))
     order = W.partitionBy("mode").orderBy(F.desc("_n"), F.array_position(legal, F.col("gold")))
     best = counts.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("mode", F.col("gold").alias("label"))
-    # at most one row per mode
-    return records.join(F.broadcast(best), "mode", "left").select(
+    return records.join(best, "mode", "left").select(
         F.lit(judge_id).alias("judge_id"),
         "record_id",
         "label",

@@ -15,6 +15,7 @@ from assay.plans.calibration import _TEMP, mode_model
 from assay.plans.metrics import _PAIRS, KEYS, ZSQL, mode_classes, rounded, sliced, wilson_sql
 from assay.plans.ranking import _RANK, _TESTS, TARGETS, TSQL
 from assay.plans.registry import query
+from assay.session import cut_lineage
 
 SEED = 20260920
 
@@ -42,15 +43,14 @@ def external(spark, sf):
 
 def selected_thresholds(rows):
     """Thresholds of both confidence views, from the threshold partition only."""
-    views = [
-        rows.select(F.lit(v).alias("view"), F.col(f"{v}_confidence").alias("confidence"), "correct", "ordinal")
-        for v in ("raw", "calibrated")
-    ]
-    return R.select_threshold(views[0].unionByName(views[1]), ["view"], TARGETS)
+    views = F.array(
+        *[F.struct(F.lit(v).alias("view"), F.col(f"{v}_confidence").alias("confidence")) for v in ("raw", "calibrated")]
+    )
+    return R.select_threshold(rows.select("correct", "ordinal", F.inline(views)), ["view"], TARGETS)
 
 
 def routed(spark, sf):
-    rows = student(spark, sf)
+    rows = cut_lineage(student(spark, sf))  # read for the thresholds and for the final routes
     cuts = P.thresholds_by_view(selected_thresholds(rows.filter("split <> 'test'")))
     final = rows.filter("split = 'test'")
     keep = final.select("record_id", "gold", "mode", "domain", "ordinal")

@@ -69,14 +69,3 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows; refusing to collect it")
     return rows
-
-
-def broadcast_bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """Broadcast a table whose row count is checked first.
-
-    Returns the table unhinted beyond the limit, so that the planner picks a
-    shuffled join instead.
-    """
-    if len(df.limit(limit + 1).take(limit + 1)) > limit:
-        return df
-    return F.broadcast(df)
