@@ -90,14 +90,17 @@ def aggregate_criteria(df: DataFrame, expected: str = "criteria_count") -> DataF
     Input rows carry ``record_id, mode, criterion_id, label, probabilities`` and
     the number of rubric criteria; a missing criterion is a parse error.
     """
-    sums = {c: F.avg(F.coalesce(F.try_element_at("probabilities", F.lit(c)), F.lit(0.0))) for c in SINGLE_LABELS + PAIRWISE_LABELS}
-    rows = df.filter(F.col("label").isNotNull()).groupBy("record_id", "mode").agg(
-        F.count_distinct("criterion_id").alias("_seen"),
+    stated = F.col("label").isNotNull()
+    rows = df.groupBy("record_id", "mode").agg(
+        F.count_distinct(F.when(stated, F.col("criterion_id"))).alias("_seen"),
         F.max(expected).alias("_expected"),
         F.min("label").alias("_a"),
         F.max("label").alias("_b"),
-        (F.count("probabilities") == F.count("*")).alias("_maps"),
-        *[v.alias(f"_p_{c}") for c, v in sums.items()],
+        (F.count(F.when(stated, F.col("probabilities"))) == F.count("label")).alias("_maps"),
+        *[
+            F.avg(F.when(stated, F.coalesce(F.try_element_at("probabilities", F.lit(c)), F.lit(0.0)))).alias(f"_p_{c}")
+            for c in SINGLE_LABELS + PAIRWISE_LABELS
+        ],
     )
     single = F.col("mode") == "single"
     label = F.when(single, F.when((F.col("_a") == "pass") & (F.col("_b") == "pass"), "pass").otherwise("fail")).otherwise(
@@ -110,23 +113,13 @@ def aggregate_criteria(df: DataFrame, expected: str = "criteria_count") -> DataF
     total = F.aggregate(means, F.lit(0.0), lambda acc, v: acc + v)
     scaled = F.map_from_arrays(classes, F.transform(means, lambda v: v / total))
     whole = F.col("_seen") >= F.col("_expected")
-    seen = rows.select(
+    return rows.select(
         "record_id",
         "mode",
         F.when(whole, label).alias("label"),
         F.when(whole & F.col("_maps") & (total > 0), scaled).alias("probabilities"),
         F.when(whole, "ok").otherwise("parse_error").alias("execution_status"),
     )
-    bare = df.groupBy("record_id", "mode").agg(F.count("label").alias("_n")).filter("_n = 0")
-    return seen.unionByName(
-        bare.select(
-            "record_id",
-            "mode",
-            F.lit(None).cast("string").alias("label"),
-            F.lit(None).cast("map<string,double>").alias("probabilities"),
-            F.lit("parse_error").alias("execution_status"),
-        )
-    )
 
 
 def normalize_choice(selected: Column, p: Column, labels: Column, tolerance: float = 1e-3) -> Column:

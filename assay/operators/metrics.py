@@ -218,14 +218,14 @@ def reliability(df: DataFrame, by: Sequence[str], classes: Column, bins: int = 1
 
 
 def _all_bins(parts: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
-    """Add a zero row for every bin of every group that has any row."""
+    """Add a zero row per bin to every part row; the final sums fold them away again."""
     measures = [c for c in parts.columns if c not in (*by, "bin")]
-    empty = parts.select(*by).distinct().select(
-        *by,
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        *[F.lit(0).cast(parts.schema[m].dataType).alias(m) for m in measures],
+    own = F.struct(F.col("bin").cast("int").alias("bin"), *[F.col(m) for m in measures])
+    zeros = F.transform(
+        F.sequence(F.lit(0), F.lit(bins - 1)),
+        lambda i: F.struct(i.alias("bin"), *[F.lit(0).cast(parts.schema[m].dataType).alias(m) for m in measures]),
     )
-    return parts.unionByName(empty)
+    return parts.select(*by, F.inline(F.concat(F.array(own), zeros)))
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: Column, bins: int = 10) -> DataFrame:

@@ -35,21 +35,19 @@ def ranked_by_confidence(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def risk_coverage(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """ORD1: selective-risk curve, including the zero point (0, 0, threshold 1)."""
     ranked = ranked_by_confidence(df, by)
-    points = ranked.select(
-        *by,
-        "rank",
+    point = F.struct(
+        F.col("rank"),
         ratio(F.col("rank"), F.col("size")).alias("coverage"),
         (1 - ratio(F.col("hits"), F.col("rank"))).alias("risk"),
         F.col("confidence").alias("threshold"),
     )
-    zero = ranked.filter("rank = 1").select(
-        *by,
+    zero = F.struct(
         F.lit(0).cast("bigint").alias("rank"),
         F.lit(0.0).alias("coverage"),
         F.lit(0.0).alias("risk"),
         F.lit(1.0).alias("threshold"),
     )
-    return points.unionByName(zero)
+    return ranked.select(*by, F.inline(F.array_compact(F.array(point, F.when(F.col("rank") == 1, zero)))))
 
 
 def coverage_at(df: DataFrame, by: Sequence[str], targets: Sequence[float] = TARGET_ERRORS) -> DataFrame:
@@ -106,13 +104,16 @@ def select_threshold(df: DataFrame, by: Sequence[str], targets: Sequence[float]
     """
     rows = df.filter(F.col("confidence").isNotNull())
     zero = F.lit(0).cast("bigint")
-    counted = rows.groupBy(*by, F.col("confidence").alias("threshold")).agg(
-        F.count("*").alias("_n"), F.sum(1 - F.col("correct")).cast("bigint").alias("_e")
-    )
-    ends = counted.select(*by).distinct().select(
-        *by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("threshold"), zero.alias("_n"), zero.alias("_e")
+
+    def candidate(threshold, n, e):
+        return F.struct(threshold.alias("threshold"), n.alias("_n"), e.alias("_e"))
+
+    cells = F.array(
+        candidate(F.col("confidence"), F.lit(1).cast("bigint"), (1 - F.col("correct")).cast("bigint")),
+        candidate(F.lit(0.0), zero, zero),
+        candidate(F.lit(1.0), zero, zero),
     )
-    candidates = counted.unionByName(ends).groupBy(*by, "threshold").agg(
+    candidates = rows.select(*by, F.inline(cells)).groupBy(*by, "threshold").agg(
         F.sum("_n").alias("_n"), F.sum("_e").alias("_e")
     )
     swept = running_totals(

@@ -23,6 +23,7 @@ WINDOW, STRIDE = 512, 256
 RECALL_KS = (5, 10, 20, 50)
 MRR_K, ECHO_K = 100, 10
 FAMILY = "patent-ir-graphrag"
+TERM_SALTS = 16
 DEGREE_BUCKETS = ((0, 0, "0"), (1, 1, "1"), (2, 3, "2-3"), (4, 7, "4-7"))
 
 
@@ -245,8 +246,11 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATE_LIMIT) -
     matched = matched.withColumn("_avg", avg_len).select("doc", "term", impact.alias("impact"))
 
     def score(some: DataFrame) -> DataFrame:
+        # a frequent term is cut into slices of documents, so no task holds all of it
+        salted = some.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
         return (
-            matched.join(some, "term")
+            matched.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(TERM_SALTS)).cast("int"))
+            .join(salted, ["term", "_salt"])
             .groupBy("source", "doc")
             .agg(F.sum(F.col("idf") * F.col("impact")).alias("score"))
         )
