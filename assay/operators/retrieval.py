@@ -295,21 +295,24 @@ def token_windows(df: DataFrame, key: str, words: Column, window: int = WINDOW,
 # --- metrics ------------------------------------------------------------------
 
 
-def _gold_ranks(rankings: DataFrame, gold: DataFrame) -> DataFrame:
-    """Every gold pair with its rank (null when it was not returned)."""
+def _gold_ranks(rankings: DataFrame, gold: DataFrame, arms: Sequence[str] | None = None) -> DataFrame:
+    """Every gold pair per arm with its rank (null when it was not returned)."""
     ranks = rankings.select("arm", "source", F.col("candidate").alias("target"), "rank")
-    arms = rankings.select("arm").distinct()
-    listed = arms.agg(F.collect_set("arm").alias("a")).scalar()
-    wanted = gold.withColumn("_arms", listed).select(*gold.columns, F.explode("_arms").alias("arm"))
+    if arms is None:
+        listed = rankings.agg(F.collect_set("arm").alias("a")).scalar()
+        wanted = gold.withColumn("_arms", listed).select(*gold.columns, F.explode("_arms").alias("arm"))
+    else:
+        wanted = gold.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     return wanted.join(ranks, ["arm", "source", "target"], "left")
 
 
-def retrieval_metrics(rankings: DataFrame, gold: DataFrame) -> DataFrame:
+def retrieval_metrics(rankings: DataFrame, gold: DataFrame, arms: Sequence[str] | None = None) -> DataFrame:
     """AGG27/AGG28: macro recall@k, MRR@100 and echo-free recall@10 per arm and split.
 
     ``rankings``: arm, source, candidate, rank. ``gold``: source, split, target, echoed.
+    Name the ``arms`` to spare a pass over the rankings.
     """
-    pairs = _gold_ranks(rankings, gold)
+    pairs = _gold_ranks(rankings, gold, arms)
     free = ~F.col("echoed")
     hit = F.col("rank") <= ECHO_K
     per_query = pairs.groupBy("arm", "split", "source").agg(
@@ -334,7 +337,7 @@ def retrieval_metrics(rankings: DataFrame, gold: DataFrame) -> DataFrame:
 
 def win_tie_loss(rankings: DataFrame, gold: DataFrame, a: str, b: str) -> DataFrame:
     """AGG29: per-query comparison of echo-free hits at 10 of two arms."""
-    pairs = _gold_ranks(rankings.filter(F.col("arm").isin(a, b)), gold.filter(~F.col("echoed")))
+    pairs = _gold_ranks(rankings.filter(F.col("arm").isin(a, b)), gold.filter(~F.col("echoed")), (a, b))
     hits = pairs.groupBy("split", "source").agg(
         F.count_if((F.col("arm") == a) & (F.col("rank") <= ECHO_K)).alias("_a"),
         F.count_if((F.col("arm") == b) & (F.col("rank") <= ECHO_K)).alias("_b"),
@@ -437,11 +440,12 @@ def retrieval_report(
     for arm, ranking in arms.items():
         part = ranking.select(F.lit(arm).alias("arm"), "source", "candidate", "rank")
         union = part if union is None else union.unionByName(part)
+    union = cut_lineage(union)  # at most k rows per query and arm, read twice below
     sizes = union.join(gold.select("source", "split").distinct(), "source").groupBy("arm", "split", "source").agg(
         F.count("*").alias("_c")
     )
     mean = sizes.groupBy("arm", "split").agg(F.sum("_c").alias("_candidates"))
-    out = retrieval_metrics(union, gold).join(mean, ["arm", "split"], "left")
+    out = retrieval_metrics(union, gold, list(arms)).join(mean, ["arm", "split"], "left")
     out = out.withColumn(
         "candidates_per_query_mean", ratio(F.coalesce("_candidates", F.lit(0)), F.col("queries"))
     ).drop("_candidates")

@@ -9,6 +9,7 @@ from assay.operators import vectors as V
 from assay.plans import derive as D
 from assay.plans.metrics import rounded
 from assay.plans.registry import query
+from assay.session import cut_lineage
 
 SALT = 11
 
@@ -157,6 +158,7 @@ def study(spark, sf):
     marked, sources = holdout(spark, sf)
     retained = marked.filter("NOT held").select("source", "target")
     _, gold = R.retrieval_queries(corpus(spark, sf), marked, sources)
+    gold = cut_lineage(gold)
     arms = {
         "graph": R.top_k(R.graph_scores(retained, sources)),
         "popularity": R.popularity(retained, sources),
@@ -166,7 +168,7 @@ def study(spark, sf):
 
 def rankings(arms):
     parts = [df.select(F.lit(a).alias("arm"), "source", "candidate", "rank") for a, df in arms.items()]
-    return parts[0].unionByName(parts[1])
+    return cut_lineage(parts[0].unionByName(parts[1]))
 
 
 _STUDY = (
