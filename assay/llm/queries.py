@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bit_sliced, exact_dedup, packing
+from assay.llm import bit_sliced, exact_dedup, licenses, line_dedup, packing, url_models
 from assay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,34 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query(
+    r"""
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS spot FROM documents),
+    k AS (
+      SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    c AS (
+      SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    d AS (SELECT k.*, coalesce(k.doc_id < c.last_id, false) AS gone FROM k LEFT JOIN c USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (NOT gone), '')) AS kept_sha256
+    FROM d GROUP BY doc_id
+    """
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_common_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans", "expressions")
+
+
 @query(
     r"""
     WITH t AS (
@@ -44,6 +72,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_models.judged(table(spark, sf_dir, "pages"))
+
+
 @query(
     """
     WITH v AS (
