@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bit_sliced, exact_dedup, licenses, line_dedup, packing, url_models
+from assay.llm import bit_sliced, exact_dedup, language_id, licenses, line_dedup, packing, url_models
 from assay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans", "expressions")
 
 
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identified(docs, ~language_id.held_out()).withColumn("held_out", language_id.held_out())
+
+
 @query(
     r"""
     WITH t AS (
