@@ -33,7 +33,7 @@ from assay.llm.common import saved, texts
 
 WINDOW = 4096
 OPEN_WINDOWS = 16
-MERGE_FAN = 64
+MERGE_FAN = 16
 END_ID = 2
 SLICE_ROWS = 1000
 CACHED_WORDS = 300_000
