@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bit_sliced, exact_dedup, language_id, licenses, line_dedup, packing, toxicity, url_models
+from assay.llm import bit_sliced, exact_dedup, language_id, licenses, line_dedup, ngram_join, packing, toxicity, url_models
 from assay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans", "expressions")
 
 
+@query()
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 @query()
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
