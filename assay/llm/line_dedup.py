@@ -108,7 +108,8 @@ def without_common_lines(
     runs = LineRuns(docs.sparkSession, fan)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).select("doc_id", "key"))
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select("key", "last_id")
+    # written, so that a skewed join can split the hot keys of both sides
+    common = saved(runs.merged().where(F.col("n_docs") >= min_docs).select("key", "last_id"), "common-lines")
     drops = (
         keys.join(common, "key")
         .where("doc_id < last_id")
