@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,21 @@ def ascii_lower(text: Column) -> Column:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     pure = F.octet_length(text) == F.length(text)
     return F.when(pure, F.lower(text)).otherwise(F.translate(text, upper, lower))
+
+
+def filtered(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows whose texts a task's judge keeps, with all their columns and without a shuffle.
+
+    ``judge`` makes one judge per task: an array of texts (nulls as empty) to flags.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                cut = batch.slice(first, 500)
+                stay = keeps(pc.fill_null(pc.cast(cut.column(at), pa.string()), ""))
+                yield cut.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import id_remainder, texts
+from assay.llm.common import filtered, id_remainder, texts
 from assay.session import collect_bounded
 
 BUCKETS = 1 << 15
@@ -224,6 +224,29 @@ def identified(
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def keep_identified(
+    docs: DataFrame,
+    learned: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = PER_LANGUAGE,
+) -> DataFrame:
+    """The rows whose language is not rejected, with all their columns."""
+    learned = F.coalesce(learned, F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        fitted(docs, learned, id_col, text_col, lang_col, per_language)
+    )
+
+    def judge():
+        m = shared.value
+        if not m.languages:
+            return lambda column: np.zeros(len(column), bool)
+        return lambda column: np.nan_to_num(scores(column, m)).max(axis=1) >= max(m.least, 1e-9)
+
+    return filtered(docs, text_col, judge)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that are not learned from: remainder 1, and rows without an id."""
     return F.coalesce(id_remainder(F.col(id_col), 3) == 1, F.lit(True))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bit_sliced, exact_dedup, language_id, licenses, line_dedup, ngram_join, packing, toxicity, url_models
+from assay.llm import bit_sliced, exact_dedup, language_id, licenses, line_dedup, ngram_join, packing, pieces, toxicity, url_models
 from assay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))

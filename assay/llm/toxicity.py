@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import id_remainder, texts
+from assay.llm.common import filtered, id_remainder, texts
 from assay.session import collect_bounded
 
 PER_LABEL = 3000
@@ -42,6 +42,7 @@ PENALTY = 2.5
 STEPS = 600
 THRESHOLD = 0.3
 SLICE_ROWS = 1000
+MOST_GRAMS = 200_000  # of the character model, the most frequent ones
 
 # Letters that a sign often stands for.
 LEET = {
@@ -286,6 +287,15 @@ def sample(docs: DataFrame, labels: DataFrame, learned: Column, per_label: int)
 SCHEMA = "doc_id long, score double, evidence array<string>"
 
 
+def fitted(rows: DataFrame, labels: DataFrame, learned: Column, per_label: int) -> tuple:
+    """Character model, lexicon and bias; ``rows`` are (doc_id, text)."""
+    grams = trigram_counts(rows)
+    frequent = grams.where("n > 1").orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
+    model = CharacterModel((r["gram"], r["n"]) for r in frequent)
+    train_rows, share = sample(rows, labels, F.coalesce(learned, F.lit(False)), per_label)
+    return (model, *learn(train_rows, Restorer(model), share))
+
+
 def scored(
     docs: DataFrame,
     labels: DataFrame,
@@ -294,21 +304,15 @@ def scored(
     text_col: str = "text",
     per_label: int = PER_LABEL,
 ) -> DataFrame:
-    """doc_id, score, evidence (the words and restored words that count) for every row.
+    """doc_id, score, evidence (the entries that words and restored words meet) for every row.
 
     ``learned`` is a condition on ``labels.doc_id``: the rows that may be learned from.
     """
-    spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    grams = trigram_counts(rows)
-    frequent = grams.where("n > 1").orderBy(F.desc("n"), "gram").limit(200_000).collect()
-    model = CharacterModel((r["gram"], r["n"]) for r in frequent)
-    train_rows, share = sample(rows, labels, F.coalesce(learned, F.lit(False)), per_label)
-    lexicon, bias = learn(train_rows, Restorer(model), share)
-    shared = spark.sparkContext.broadcast((model, lexicon))  # both of bounded size
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels, learned, per_label))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lexicon = shared.value
+        model, lexicon, bias = shared.value
         restore = Restorer(model)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -321,6 +325,27 @@ def scored(
     return rows.mapInArrow(run, SCHEMA)
 
 
+def keep_clean(
+    docs: DataFrame,
+    labels: DataFrame,
+    learned: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    per_label: int = PER_LABEL,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns."""
+    rows = texts(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels, learned, per_label))
+
+    def judge():
+        model, lexicon, bias = shared.value
+        restore = Restorer(model)
+        return lambda column: score_batch(column, lexicon, bias, restore)[0].to_numpy() < threshold
+
+    return filtered(docs, text_col, judge)
+
+
 def score_batch(column: pa.Array, lexicon: dict[str, float], bias: float, restore: Restorer) -> list[pa.Array]:
     """Scores and evidence of a batch; words are judged once per batch."""
     lower = pc.utf8_lower(column)

@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: each stage reads what the one before it kept.
+
+Toxic texts go, texts of no recognised language go, of equal texts one stays, of
+near-duplicate texts (shingles of five words, similarity 0.8) one stays, and
+what is left is packed into token windows. ORACLE_SQL is None: models and
+tokenizers are beyond SQL; tests/llm compares the stages with brute force.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +12,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import exact_dedup, packing
-from assay.llm.common import saved
+from assay.llm import exact_dedup, language_id, ngram_join, packing, toxicity
+from assay.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs, ~language_id.held_out())
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_rows(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_first(docs, words=5, num=80, den=100)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", drop_copies), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("packing", pack),
+]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)
     return docs
