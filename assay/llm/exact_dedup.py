@@ -91,5 +91,5 @@ def duplicate_classes(
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stay = duplicate_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    found = docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    found = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
     return found.dropDuplicates([id_col, text_col])

@@ -151,8 +151,8 @@ def fitted(docs: DataFrame, learned: Column, id_col: str, text_col: str, lang_co
     chosen = [r[0] for r in collect_bounded(ids, per_language * MOST_LANGUAGES, "the language sample")]
     small = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long")  # bounded as above
     rows = (
-        usable.join(F.broadcast(small), F.col(id_col) == F.col("_id"))
-        .select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        usable.join(F.broadcast(small), usable[id_col] == small["_id"])
+        .select(F.xxhash64(usable[id_col]).alias("h"), usable[text_col].alias("text"), usable[lang_col].alias("lang"))
         .collect()
     )
     rows = sorted({(r["h"], r["text"], r["lang"]) for r in rows})

@@ -436,4 +436,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("doc_id").alias("_stay"))
         .distinct()
     )
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
