@@ -104,6 +104,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     place = {lang: i for i, lang in enumerate(languages)}
     sample = [(features(text, BUCKETS), place[lang]) for text, lang in rows]
     sample = [s for s in sample if len(s[0][0])]
+    if not sample:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     held = [s for i, s in enumerate(sample) if i % HELD_BACK == 0] or sample
     fit = [s for i, s in enumerate(sample) if i % HELD_BACK] or sample
     draw = np.random.default_rng(seed)

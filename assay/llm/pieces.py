@@ -127,7 +127,7 @@ def lattice(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray, np
     signs = sign_hash(flat)
     h = signs.copy()
     power = np.uint64(1)
-    for n, (hashes, ids) in enumerate(table.tables, 1):
+    for n, (hashes, ids) in enumerate(table.tables[: len(flat)], 1):
         if n > 1:
             power = np.uint64((int(power) * int(FACTOR)) & 0xFFFFFFFFFFFFFFFF)
             h[n - 1 :] = h[n - 1 :] + signs[: len(signs) - n + 1] * power

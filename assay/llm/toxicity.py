@@ -375,7 +375,8 @@ def score_batch(column: pa.Array, lexicon: dict[str, float], bias: float, restor
             # letters spelled apart may run into each other: look for entries at every start
             for i in range(len(back)):
                 evidence[row].update(strength(back[i:], lexicon))
-    totals = [1 / (1 + math.exp(min(700.0, -bias - sum(e.values())))) for e in evidence]
+    known = bias > -math.inf  # else nothing was learned
+    totals = [1 / (1 + math.exp(min(700.0, -bias - sum(e.values())))) if known else 0.0 for e in evidence]
     shown = [sorted(k.removesuffix(EDGE) for k in e) for e in evidence]
     return [pa.array(totals, pa.float64()), pa.array(shown, pa.list_(pa.string()))]
 
