@@ -9,9 +9,12 @@ computed exactly, in bounded pairs of row blocks: overlaps are counted first ove
 each row's rarest columns, pairs without overlap there cannot reach the bound
 that follows from their sizes, and only the others are counted in full.
 
-Signatures of one or no column say little; a row whose blocks hold few of them does
-without, the others join theirs with a second filter (the smallest hashes of a row,
-of which linked rows share one). Nothing is capped: every linked pair is compared.
+Blocks without any column, or with columns only that a large share of all documents
+holds (passages, licence lines), say little. There are more blocks than may
+differ, so most rows do without theirs; a row with many such blocks, like the
+members of a large family of copies, uses them too. The few rows with very many empty
+blocks join those with their smallest hashes, of which linked rows share one. Which columns are common only
+steers the work. Nothing is capped: every linked pair is compared.
 
 Rows with equal sets are one class, compared once; the first of a class in each
 map task stands for it. Null and empty texts have no shingles and link with nothing.
@@ -37,7 +40,10 @@ from assay.llm.common import saved, texts
 BLOCK_SHINGLES = 1 << 20  # shingles of a row block
 SLICE_ROWS = 500
 SEEN = 500_000
-WEAK = 1  # a column block of so many columns says little
+KEYS_AT_ONCE = 1 << 19
+COMMON_SHARE = 0.002  # of all documents; at most (mean set size / share) columns are that common
+COMMON_LEAST = 10
+COUNTED_AT_ONCE = 1 << 22  # shingles whose documents are counted together in a task
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 ODD3 = np.uint64(0x165667B19E3779F9)
@@ -81,7 +87,7 @@ class Bounds:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        width = (den / num) ** 2
+        width = (den / num) ** 1.5
         self.edges = [1]  # first size of each band; a row links into its own or the next band at most
         while self.edges[-1] < 1 << 40:
             self.edges.append(int(self.edges[-1] * width) + 1)
@@ -94,17 +100,24 @@ class Bounds:
         reaches = n * self.den >= self.edges[own + 1] * self.num
         return [own, own + 1] if reaches else [own]
 
+    def differ(self, n: int, band: int) -> int:
+        """Columns in which a row of ``n`` and a linked row of the band may differ at most."""
+        most = 2 * (self.edges[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+        return min(most, n * (self.den - self.num) // self.num)
+
     @lru_cache(maxsize=4096)  # noqa: B019  one object per task
-    def blocks(self, band: int) -> tuple[int, int]:
-        """Column blocks of a band, and how many of them may differ between linked rows."""
-        low, high = self.edges[band], self.edges[band + 1] - 1
-        differ = 2 * high * (self.den - self.num) // (self.den + self.num)
-        for blocks in range(differ + 1, 2 * differ + 2):
-            mean = (low + high) / 2 / blocks
-            weak = blocks * exp(-mean) * (1 + mean)
-            if blocks - differ - 1 >= weak + 2 * sqrt(weak):
-                return blocks, differ
-        return differ + 1, differ
+    def blocks(self, band: int) -> int:
+        """Column blocks of a band: enough that few rows of it have too many empty ones."""
+        sizes = np.unique(np.linspace(self.edges[band], self.edges[band + 1] - 1, 5).astype(np.int64))
+        differ = [self.differ(int(n), band) for n in sizes]
+        if not differ[-1]:
+            return 1  # linked rows are equal
+        for blocks in range(differ[-1] + 1, 2 * differ[-1] + 8):
+            empty = [blocks * exp(-n / blocks) for n in sizes]
+            spare = 1 + blocks // 50  # for a few blocks of common columns
+            if all(blocks - d >= e + 2 * sqrt(e) + spare for d, e in zip(differ, empty, strict=True)):
+                return blocks
+        return differ[-1] + 1
 
     def prefix(self, n: int) -> int:
         """Linked rows share one of so many smallest hashes."""
@@ -115,26 +128,28 @@ class Bounds:
         return overlap * (self.den + self.num) >= self.num * sizes
 
 
-def signatures(row: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """Keys of which every two linked rows share one at least."""
+def signatures(row: np.ndarray, bounds: Bounds, common: np.ndarray) -> np.ndarray:
+    """Keys of which every two linked rows share one at least; ``common`` is sorted."""
     out = []
+    rare = np.ones(len(row), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, row), len(common) - 1)] != row
     for band in bounds.bands(len(row)):
-        blocks, differ = bounds.blocks(band)
-        place = ((row * ODD) >> np.uint64(33)) % np.uint64(blocks)
-        place = place.astype(np.int64)
+        blocks = bounds.blocks(band)
+        place = (((row * ODD) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
         spread = mix(row)
-        sizes = np.bincount(place, minlength=blocks)
         low = np.bincount(place, (spread & LOW32).astype(np.float64), blocks).astype(np.uint64)
         high = np.bincount(place, (spread >> np.uint64(32)).astype(np.float64), blocks).astype(np.uint64)
         key = mix(mix(low + ODD * high) + np.arange(blocks, dtype=np.uint64) * ODD2 + np.uint64(band))
-        weak = sizes <= WEAK
-        if blocks == 1 or not weak.any():
-            out.append(key)
-            continue
-        out.append(key[~weak])
-        if weak.sum() > blocks - differ - 1:  # linked rows may agree in weak blocks only
+        strong = np.bincount(place, rare, blocks) > 0
+        out.append(key[strong])
+        equal = blocks - bounds.differ(len(row), band)  # so many blocks at least are equal in linked rows
+        filled = np.bincount(place, minlength=blocks) > 0
+        if (~strong).sum() >= equal:  # all of them may be weak
+            out.append(key[filled & ~strong])
+        if (~filled).sum() >= equal:  # all of them may be empty
             second = row[: bounds.prefix(len(row))]
-            out.append(mix(key[weak][:, None] * ODD3 + second).ravel())
+            out.append(mix(key[~filled][:, None] * ODD3 + second).ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -142,29 +157,66 @@ def digest(row: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(row.tobytes())
 
 
+def often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than a small share of these documents hold, with their documents here."""
+    found, held = np.unique(np.concatenate(sets), return_counts=True)
+    many = held >= max(3, COMMON_SHARE / 2 * len(sets))
+    return found[many], held[many]
+
+
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, digest of every row; no digest where there is no shingle."""
+    """doc_id, n, digest of every row (no digest without a shingle); and rows of shingle, held counts."""
+
+    def row_batch(ids, sizes, digests, shingles, held) -> pa.RecordBatch:
+        count, more = len(sizes), len(held)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(more, pa.int64())]),
+                pa.array([*sizes, *[None] * more], pa.int64()),
+                pa.array([*digests, *[None] * more], pa.binary()),
+                pa.concat_arrays([pa.nulls(count, pa.int64()), pa.array(shingles.view(np.int64))]),
+                pa.concat_arrays([pa.nulls(count, pa.int64()), pa.array(held.astype(np.int64))]),
+            ],
+            names=["doc_id", "n", "digest", "shingle", "held"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        waiting: list[np.ndarray] = []
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 cut = batch.slice(at, SLICE_ROWS)
                 found = shingle_sets(cut.column(1), words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        cut.column(0),
-                        pa.array([len(s) for s in found], pa.int64()),
-                        pa.array([digest(s) if len(s) else None for s in found], pa.binary()),
-                    ],
-                    names=["doc_id", "n", "digest"],
-                )
-
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary")
+                yield row_batch(cut.column(0), [len(s) for s in found], [digest(s) if len(s) else None for s in found], *none)
+                waiting += [s for s in found if len(s)]
+                if sum(map(len, waiting)) >= COUNTED_AT_ONCE:
+                    yield row_batch(pa.nulls(0), [], [], *often(waiting))
+                    waiting = []
+        if waiting:
+            yield row_batch(pa.nulls(0), [], [], *often(waiting))
+
+    return rows.mapInArrow(run, "doc_id long, n long, digest binary, shingle long, held long")
+
+
+def common_shingles(known: DataFrame) -> np.ndarray:
+    """Sorted shingles of a large share of all documents; their number has the bound stated above."""
+    documents = known.where("held is null").count()
+    rows = (
+        known.where("held is not null")
+        .groupBy("shingle")
+        .agg(F.sum("held").alias("held"))
+        .where(F.col("held") >= max(COMMON_LEAST, COMMON_SHARE * documents))
+        .select("shingle")
+        .collect()
+    )
+    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
 
 
-def neighbours(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def neighbours(rows: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
     """(a, b) with a > b: documents with an equal column block, each with the smallest of its key."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, seen = Bounds(num, den), set()
         for batch in batches:
@@ -179,15 +231,21 @@ def neighbours(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         seen.clear()
                     seen.add(mark)
                     ids.append(doc)
-                    found.append(signatures(row, bounds))
+                    found.append(signatures(row, bounds, shared.value))
+                    if sum(map(len, found)) >= KEYS_AT_ONCE:
+                        yield key_batch(ids, found)
+                        ids, found = [], []
                 if ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(found).view(np.int64)),
-                            pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found])),
-                        ],
-                        names=["key", "doc_id"],
-                    )
+                    yield key_batch(ids, found)
+
+    def key_batch(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(found).view(np.int64)),
+                pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found])),
+            ],
+            names=["key", "doc_id"],
+        )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_doc = None
@@ -211,7 +269,7 @@ def neighbours(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
         .repartition("key")
         .sortWithinPartitions("key", "doc_id")
     )
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    return dealt.mapInArrow(pairs, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,14 +279,17 @@ def components(edges: DataFrame) -> DataFrame:
     per node, which combine before the shuffle, so a node with very many
     neighbours is no hot spot.
     """
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
-    mark = None
+    def state_of(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = saved(ordered.distinct(), "edges")
+    mark = state_of(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # a node that is the smallest around itself keeps its larger neighbours, so nothing is lost
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(
             F.explode(
@@ -239,7 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
             ).alias("e")
         )
         now = saved(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(now)
         if state == mark:
             break
         mark = state
@@ -248,7 +309,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def product(left: list, right: list | None, bounds: Bounds) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Links among ``left``, or between ``left`` and ``right``: a spanning forest, and links per id.
+    """Links among ``left``, or between ``left`` and ``right``: (id, smallest id of its component), and links per id.
 
     Members are (id, copies, sorted hashes). Links count the copies of the other side.
     """
@@ -272,7 +333,7 @@ def product(left: list, right: list | None, bounds: Bounds) -> tuple[list[tuple[
         return np.bincount(postings[spots], minlength=len(members))
 
     group = np.arange(len(members))
-    links, forest = np.zeros(len(members), np.int64), []
+    links = np.zeros(len(members), np.int64)
     for i in range(len(members) - 1):
         own = inverse[ends[i] - sizes[i] : ends[i]]
         last = int(np.searchsorted(sizes, sizes[i] * bounds.den // bounds.num, side="right"))
@@ -291,9 +352,12 @@ def product(left: list, right: list | None, bounds: Bounds) -> tuple[list[tuple[
         links[found] += copies[i]
         for j in found:
             if group[j] != group[i]:
-                forest.append((ids[i], ids[j]))
                 group[group == group[j]] = group[i]
-    return forest, {i: int(n) for i, n in zip(ids, links, strict=True) if n}
+    least: dict[int, int] = {}
+    for g, i in zip(group.tolist(), ids, strict=True):
+        least[g] = min(least.get(g, i), i)
+    stars = [(i, least[g]) for g, i in zip(group.tolist(), ids, strict=True) if least[g] != i]
+    return stars, {i: int(n) for i, n in zip(ids, links, strict=True) if n}
 
 
 def linked(
@@ -307,12 +371,13 @@ def linked(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row; linked where den * overlap >= num * union."""
     rows = texts(docs, id_col, text_col)
-    known = saved(sets_of(rows, words), "sets")
+    counted = saved(sets_of(rows, words), "sets")
+    known = counted.where("held is null").select("doc_id", "n", "digest")
     named = known.where("digest is not null and doc_id is not null")
     classes = saved(
         named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes"
     )
-    near = components(neighbours(rows, words, num, den))
+    near = components(neighbours(rows, words, num, den, common_shingles(counted)))
     # one member per class; all that stand for a class share every key, so they are in one cluster
     members = saved(
         near.join(named, F.col("node") == F.col("doc_id"))
@@ -397,10 +462,10 @@ def linked(
             sides[side][rep] = (rep, copies, np.frombuffer(hashes, np.uint64))
         alone = low_band == high_band and low == high
         left, right = (list(s.values()) for s in sides)
-        forest, links = product(left, None if alone else right, bounds)
-        a = [e[0] for e in forest] + list(links)
-        b = [e[1] for e in forest] + list(links)
-        counts = [0] * len(forest) + list(links.values())
+        stars, links = product(left, None if alone else right, bounds)
+        a = [e[0] for e in stars] + list(links)
+        b = [e[1] for e in stars] + list(links)
+        counts = [0] * len(stars) + list(links.values())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(counts, pa.int64())})
 
     compared = saved(

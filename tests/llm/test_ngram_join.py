@@ -70,7 +70,9 @@ def test_signatures_share_a_key_for_every_linked_pair():
             b = np.union1d(draw.permutation(a)[drop:], draw.integers(0, 1 << 60, drop // 2).astype(np.uint64))
             both = len(np.intersect1d(a, b))
             if both * 100 >= num * (len(a) + len(b) - both):
-                assert np.intersect1d(ngram_join.signatures(a, bounds), ngram_join.signatures(b, bounds)).size
+                for common in (a[:0], np.intersect1d(a, b), a[::3]):
+                    keys = [ngram_join.signatures(x, bounds, common) for x in (a, b)]
+                    assert np.intersect1d(*keys).size
 
 
 def test_components_of_long_chains_and_stars(spark):
