@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
@@ -15,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+def refuse(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """``df``, or a failed job where the condition holds, whatever columns are read later."""
+    return df.filter(F.when(condition, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

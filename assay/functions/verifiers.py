@@ -11,31 +11,80 @@ from assay.functions.text import let, strip
 
 Check = Callable[[Column, Column], Column]
 
-_PLAIN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
-_SCIENTIFIC = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+$"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_INFINITE = r"(?i)^[+-]?inf(?:inity)?$"
+# Values whose first digit stands this far from the point are spelled with an exponent.
+_WIDEST = 400
 
 
 def canonical_number(c: Column) -> Column:
     """One spelling per decimal value, null when the text is not a number.
 
-    Plain decimals are compared as digit strings, so their length is not bound
-    by a decimal type; exponents go through ``decimal(38,18)`` or double.
+    The value is never put into a decimal or double: an exponent moves the point
+    in the digit string, so any number of digits compares exactly.
     """
-    def spell(x: Column) -> Column:
-        whole = F.regexp_replace(F.regexp_extract(x, r"^[+-]?([0-9]*)", 1), "^0+", "")
-        part = F.regexp_replace(F.regexp_extract(x, r"\.([0-9]*)", 1), "0+$", "")
-        digits = F.concat_ws(".", F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")), F.nullif(part, F.lit("")))
-        signed = lambda d: F.when(F.startswith(x, F.lit("-")) & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d)
-        return let(digits, signed)
 
-    def scientific(x: Column) -> Column:
-        exact = x.try_cast("decimal(38,18)")
-        return F.when(exact.isNotNull(), spell(exact.cast("string"))).otherwise(x.try_cast("double").cast("string"))
+    def spell(x: Column) -> Column:
+        whole = F.regexp_extract(x, r"^[+-]?([0-9]*)", 1)
+        part = F.regexp_extract(x, r"\.([0-9]*)", 1)
+        shift = F.coalesce(F.nullif(F.regexp_extract(x, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")), F.lit("0"))
+        digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
+        # place: how many digits stand before the point, once leading zeros are gone
+        place = shift.try_cast("bigint") + F.length(digits) - F.length(part)
+        shape = F.struct(F.regexp_replace(digits, "0+$", "").alias("d"), place.alias("p"))
+        return let(shape, lambda s: signed(x, placed(s["d"], s["p"])))
+
+    def placed(d: Column, p: Column) -> Column:
+        n = F.length(d)
+        near = F.abs(p) <= _WIDEST
+        pad = F.when(near, p).otherwise(0).cast("int")
+        whole = F.when(pad >= n, F.rpad(d, pad, "0")).otherwise(F.concat(F.substr(d, F.lit(1), pad), F.lit("."), F.substr(d, pad + 1)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -pad), d)
+        return (
+            F.when(d == "", "0")
+            .when(p.isNull(), F.lit(None).cast("string"))
+            .when(~near, F.concat(F.lit("0."), d, F.lit("e"), p.cast("string")))
+            .when(p > 0, whole)
+            .otherwise(small)
+        )
+
+    def signed(x: Column, d: Column) -> Column:
+        return F.when(F.startswith(x, F.lit("-")) & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d)
 
     def read(x: Column) -> Column:
-        return F.when(F.rlike(x, F.lit(_PLAIN)), spell(x)).when(F.rlike(x, F.lit(_SCIENTIFIC)), scientific(x))
-
-    return let(F.regexp_replace(strip(c.cast("string")), ",", ""), read)
+        return F.when(F.rlike(x, F.lit(_NUMBER)), spell(x)).when(
+            F.rlike(x, F.lit(_INFINITE)), signed(x, F.lit("Infinity"))
+        )
+
+    return let(F.regexp_replace(strip(c.cast("string")), "[,_]", ""), read)
+
+
+def plus_one(number: Column) -> Column:
+    """A canonical plain number plus one, digit by digit."""
+
+    def bumped(whole: Column, old: str, new: str, run: str, back: str) -> Column:
+        """The last digit before a trailing ``run`` moves by one and the run turns to ``back``."""
+        tail = F.regexp_extract(whole, f"({run}*)$", 1)
+        head = F.substr(whole, F.lit(1), F.length(whole) - F.length(tail))
+        moved = F.concat(
+            F.substr(head, F.lit(1), F.length(head) - 1), F.translate(F.right(head, F.lit(1)), old, new)
+        )
+        return F.concat(moved, F.translate(tail, run, back))
+
+    def add(x: Column) -> Column:
+        whole = F.regexp_extract(x, r"^-?([0-9]+)", 1)
+        part = F.regexp_extract(x, r"(\.[0-9]+)$", 1)
+        up = F.concat(bumped(F.concat(F.lit("0"), whole), "012345678", "123456789", "9", "0"), part)
+        down = F.concat(F.lit("-"), bumped(whole, "123456789", "012345678", "0", "9"), part)
+        last = F.right(part, F.lit(1))
+        rest = F.substr(part, F.lit(1), F.length(part) - 1)
+        over = F.concat(
+            F.lit("0"), F.translate(rest, "0123456789", "9876543210"), F.translate(last, "123456789", "987654321")
+        )
+        negative = F.startswith(x, F.lit("-"))
+        return canonical_number(F.when(negative & (whole == "0"), over).when(negative, down).otherwise(up))
+
+    return let(number, add)
 
 
 def choice_letter(c: Column) -> Column:

@@ -25,7 +25,7 @@ def fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def fingerprint_hashes(df: DataFrame, digest: Column, by: Sequence[str] = ()) -> DataFrame:
     lanes = [
-        F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_l{i}")
+        F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"_l{i}")
         for i in range(LANES)
     ]
     sums = df.groupBy(*by).agg(F.count("*").alias("rows"), *lanes)

@@ -8,9 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.session import collect_bounded
-
-MAX_JUDGES = 256
+from assay.functions.text import refuse
 
 
 def is_resolved(status: str = "execution_status", label: str = "label") -> Column:
@@ -67,13 +65,22 @@ def merge_runs(runs: Sequence[DataFrame], keys: Sequence[str] = ("judge_id", "re
     return picked.select(*keys, *[row[c].alias(c) for c in value_columns])
 
 
-def merge_retry(base: DataFrame, retry: DataFrame, keys: Sequence[str] = ("judge_id", "record_id")) -> DataFrame:
-    """JN3: the retry row where there is one, else the base row."""
+def merge_retry(
+    base: DataFrame,
+    retry: DataFrame,
+    keys: Sequence[str] = ("judge_id", "record_id"),
+    expected: DataFrame | None = None,
+) -> DataFrame:
+    """JN3: the retry row where there is one, else the base row; a key of ``expected`` in neither fails the job."""
     value_columns = [c for c in base.columns if c not in keys]
     b = base.select(*keys, F.struct(*value_columns).alias("_base"))
     r = retry.select(*keys, F.struct(*value_columns).alias("_retry"))
     row = F.coalesce("_retry", "_base")
-    return b.join(r, list(keys), "full_outer").select(
+    merged = b.join(r, list(keys), "full_outer")
+    if expected is not None:
+        merged = merged.join(expected.select(*keys).distinct(), list(keys), "full_outer")
+        merged = refuse(merged, F.col("_base").isNull() & F.col("_retry").isNull(), "a key has no base and no retry row")
+    return merged.select(
         *keys,
         F.when(F.col("_retry").isNotNull(), "retry").otherwise("base").alias("origin"),
         *[row[c].alias(c) for c in value_columns],
@@ -106,48 +113,38 @@ def with_dimension(
     )
 
 
-def judge_list(scored: DataFrame) -> list[str]:
-    rows = collect_bounded(scored.select("judge_id").distinct(), MAX_JUDGES, "the judge list")
-    return sorted(r["judge_id"] for r in rows)
-
-
-def judge_pairs(
-    scored: DataFrame, by: Sequence[str] = (), judges: Sequence[str] | None = None
-) -> DataFrame:
+def judge_pairs(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """JN5: contingency table of every unordered judge pair.
 
     One row per (``by``, left, right, left outcome, right outcome) with the count
-    of shared records. Records are first folded to one outcome per judge, equal
-    outcome patterns are counted, and only the counted patterns are expanded to
-    pairs, so no record is ever emitted once per pair.
+    of shared records. Records are first folded to their sorted outcomes (as many as
+    judges saw the record), equal patterns are counted, and only the counted patterns are
+    expanded to pairs, so no record is ever emitted once per pair.
     """
-    names = list(judges) if judges is not None else judge_list(scored)
     outcome = F.struct(
         F.col("label").alias("label"),
         F.col("resolved").alias("resolved"),
         F.col("correct").alias("correct"),
     )
     patterns = (
-        scored.groupBy(*by, "record_id")
-        .agg(*[F.max(F.when(F.col("judge_id") == j, outcome)).alias(f"_j{i}") for i, j in enumerate(names)])
-        .groupBy(*by, *[f"_j{i}" for i in range(len(names))])
+        scored.groupBy(*by, "record_id", "judge_id")
+        .agg(F.max(outcome).alias("o"))
+        .groupBy(*by, "record_id")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("judge_id").alias("j"), "o"))).alias("_seen"))
+        .groupBy(*by, "_seen")
         .agg(F.count("*").alias("_n"))
     )
-    seen = F.filter(
-        F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"_j{i}").alias("o")) for i, j in enumerate(names)]),
-        lambda x: x["o"].isNotNull(),
-    )
 
     def with_later(x, i):
         return F.transform(
-            F.slice(seen, i + 2, F.size(seen)),
+            F.slice("_seen", i + 2, F.size("_seen")),
             lambda y: F.struct(
                 x["j"].alias("left"), y["j"].alias("right"), x["o"].alias("left_outcome"), y["o"].alias("right_outcome")
             ),
         )
 
     return (
-        patterns.select(*by, "_n", F.inline(F.flatten(F.transform(seen, with_later))))
+        patterns.select(*by, "_n", F.inline(F.flatten(F.transform("_seen", with_later))))
         .groupBy(*by, "left", "right", "left_outcome", "right_outcome")
         .agg(F.sum("_n").alias("n"))
     )

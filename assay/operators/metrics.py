@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.stats import wilson
+from assay.functions.text import refuse
 from assay.operators.running import running_totals
 from assay.vocab import PROBABILITY_FLOOR, lit_array
 
@@ -113,9 +114,8 @@ def with_probability_scores(df: DataFrame, classes: Column) -> DataFrame:
     at_gold = F.coalesce(F.try_element_at(p, F.col("gold")), F.lit(0.0))
     conf = F.array_max("_vector")
     known = F.array_contains("_classes", F.col("gold"))
-    nll = F.when(p.isNotNull() & ~known, F.raise_error("gold label outside the class order")).when(
-        p.isNotNull(), -F.log(F.greatest(F.lit(PROBABILITY_FLOOR), at_gold))
-    )
+    out = refuse(out, p.isNotNull() & ~known, "a gold label is none of the classes")
+    nll = F.when(p.isNotNull(), -F.log(F.greatest(F.lit(PROBABILITY_FLOOR), at_gold)))
     return out.withColumns(
         {
             "brier_term": F.when(p.isNotNull(), brier),
@@ -329,9 +329,8 @@ def quantiles(
 
 def latency_summary(df: DataFrame, by: Sequence[str], method: str = "linear") -> DataFrame:
     """AGG13: count, mean, min, max, median and p95; a negative latency fails the job."""
-    ms = F.when(F.col("latency_ms") < 0, F.raise_error("latencies must be non-negative").cast("double")).otherwise(
-        F.col("latency_ms")
-    )
+    df = refuse(df, F.col("latency_ms") < 0, "a latency is below zero")
+    ms = F.col("latency_ms")
     plain = df.groupBy(*by).agg(
         F.count(ms).alias("count"), F.avg(ms).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms")
     )

@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions.identity import case_key, content_id, hash_is_even, hash_mod
-from assay.functions.text import let, norm_id, strip
-from assay.functions.verifiers import DOMAIN_OF_VERIFIER, canonical_number, verify
+from assay.functions.text import let, norm_id, refuse, strip
+from assay.functions.verifiers import DOMAIN_OF_VERIFIER, canonical_number, plus_one, verify
 from assay.operators.metrics import invert_label
 from assay.operators.rules import check_isolation, check_training, check_unique, enforce
 from assay.operators.splits import entity_split, map_upstream_split, split_of
@@ -179,13 +179,13 @@ def choice_pair(df: DataFrame, dataset: str) -> DataFrame:
     rows = df.withColumns({"labels": labels, "texts": texts})
     j = F.pmod(i + 1, n)
     bad = (strip(F.col("question")) == "") | (n < 2) | (i < 0) | (i >= n)
-    prompt = fail_when(bad, "choice rows require a question, two choices and a valid answer index", choice_prompt())
+    rows = refuse(rows, F.coalesce(bad, F.lit(True)), "a choice row needs a question, at least two choices and an answer among them")
 
     def say(k: Column) -> Column:
         return F.concat(F.lit("Answer: "), F.char(k + 65), F.lit(") "), F.get("choices", k))
 
     return _pass_fail(
-        rows.withColumn("prompt", prompt),
+        rows.withColumn("prompt", choice_prompt()),
         lambda v: F.concat_ws(":", F.lit(dataset), "source_problem_id", v),
         say(i),
         say(j),
@@ -195,8 +195,7 @@ def choice_pair(df: DataFrame, dataset: str) -> DataFrame:
 def final_answer(answer: Column) -> Column:
     """Number after ``####`` as a plain decimal without trailing zeros."""
     raw = F.regexp_extract(answer, r"(?U)####\s*([^\s]+)", 1)
-    value = canonical_number(F.regexp_replace(raw, "[,$]", ""))
-    return let(value, lambda v: fail_when(v.isNull(), "answer has no numeric final answer", v))
+    return canonical_number(F.regexp_replace(raw, "[,$]", ""))
 
 
 def numeric_pair(df: DataFrame, dataset: str = "gsm8k") -> DataFrame:
@@ -208,7 +207,8 @@ def numeric_pair(df: DataFrame, dataset: str = "gsm8k") -> DataFrame:
             "prompt": F.concat(F.lit("Solve the math word problem.\nQuestion: "), strip(F.col("question"))),
         }
     )
-    wrong = canonical_number((F.col("_right").cast("decimal(38,10)") + 1).cast("string"))
+    rows = refuse(rows, F.col("_right").isNull() | F.rlike("_right", F.lit("[eI]")), "the answer ends in no plain number")
+    wrong = plus_one(F.col("_right"))
     return _pass_fail(
         rows,
         lambda v: F.concat_ws(":", F.lit(dataset), "source_problem_id", v),

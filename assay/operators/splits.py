@@ -104,7 +104,13 @@ def bernoulli_top(
 
     With ``required`` a short sample fails the job when it is read.
     """
-    rows = df.filter(hash_unit(seed, family, F.col(key)) < ratio).dropDuplicates([key])
+    whole = F.struct(*df.columns)
+    rows = (
+        df.filter(hash_unit(seed, family, F.col(key)) < ratio)
+        .groupBy(key)
+        .agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+        .select("_row.*")
+    )
     top = (
         rows.withColumn("hash_rank", hash_rank(seed, family, F.col(key)))
         .orderBy("hash_rank", key)

@@ -115,7 +115,7 @@ _NUM1 = _NUM.replace("o_totalprice::DECIMAL(18,2)", "(o_totalprice::DECIMAL(18,2
     + _variants_sql("'gsm8k:'||id", "'Final answer: '||a", "'Final answer: '||b", "n"),
 )
 def numeric_answer_pairs(spark, sf):
-    o = D.spread_table(spark, sf, "orders", "o_orderkey", "o_totalprice")
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     rows = o.select(
         F.col("o_orderkey").cast("string").alias("source_problem_id"),
         F.lit(" How much is the order? ").alias("question"),

@@ -263,7 +263,7 @@ def duplicate_body_audit(spark, sf):
 
 
 def prose(spark, sf):
-    return D.spread_table(spark, sf, "documents", "doc_id", "source", "lang", "text").select(
+    return D.table(spark, sf, "documents").select("doc_id", "source", "lang", "text").select(
         F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("doc"),
         F.concat_ws(" ", "source", "lang").alias("title"),
         "text",

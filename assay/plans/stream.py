@@ -47,15 +47,14 @@ def streamed_predictions(spark, sf):
     """SELECT event_type AS judge_id, CASE event_type WHEN 'error' THEN 'rate_limited' ELSE 'ok' END AS execution_status, count(*) AS count FROM events GROUP BY ALL""",
 )
 def streamed_progress(spark, sf):
-    name = f"progress_{uuid.uuid4().hex}"
+    base = _scratch(spark)
     run = (
         S.progress(prediction_stream(spark, sf))
-        .writeStream.format("memory")
-        .queryName(name)
-        .option("checkpointLocation", f"{_scratch(spark)}/state")
+        .writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/counts"))
+        .option("checkpointLocation", f"{base}/state")
         .outputMode("complete")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{base}/counts")

@@ -19,6 +19,9 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
+        .config("spark.sql.files.openCostInBytes", "64k")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,11 +31,13 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a scratch one only if unset."""
+    """The shared folder the cluster names; a scratch one only where it is unset and all tasks run in this process."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_KEY, None)
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     target = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(target)
     return target
@@ -48,21 +53,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_INPUT_PARTITIONS = 16
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Cut a small scan into as many partitions as there are cores.
-
-    A single small file is one task whatever the cluster size, which starves
-    costly row-wise work. Inputs of more than a few partitions pass unchanged,
-    so nothing large is ever shuffled for this. Only for plain scans.
-    """
-    have = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if have < min(cores, SMALL_INPUT_PARTITIONS) else scan
-
-
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Bring a small table to the driver, failing instead of truncating."""
     rows = df.limit(limit + 1).collect()

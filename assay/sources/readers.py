@@ -120,9 +120,12 @@ def read_tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
 
 
 def read_corpus(spark: SparkSession, path: str, key: str = "entry_cid") -> DataFrame:
-    """SRC4: documents with text fields never null; check the key with ``check_unique``."""
+    """SRC4: documents with text fields never null; a repeated key is an error."""
     texts = ["citation", "family", "title", "text", "section_id"]
     df = spark.read.parquet(path)
+    repeated = df.groupBy(key).count().filter("count > 1").first()
+    if repeated is not None:
+        raise ValueError(f"{key} {repeated[key]!r} occurs {repeated['count']} times")
     have = [c for c in texts if c in df.columns]
     out = df.select(F.col(key).cast("string").alias(key), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in have])
     for c in texts:
