@@ -1,7 +1,7 @@
 """Temperature and Platt calibration as distributed reductions.
 
-Only calibration rows may be fitted. The driver sees a few scalars per group and
-step; rows stay on the executors.
+Only calibration rows may be fitted. Rows and parameters stay on the executors;
+the driver only asks whether a group still moves.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.text import refuse
 from assay.operators.metrics import class_vector, classification_report
-from assay.session import collect_bounded
+from assay.session import cut_lineage
 from assay.vocab import PROBABILITY_FLOOR
 
-MAX_GROUPS = 4096
 LOG_T_RANGE = (-6.0, 6.0)
-GRID_POINTS = 64
-GRID_PASSES = 6
+PASSES = 100
+TOLERANCE = 1e-8  # of log T
 
 
 def check_fit_rows(df: DataFrame) -> None:
@@ -33,15 +33,15 @@ def check_fit_rows(df: DataFrame) -> None:
         F.count("*").alias("rows"),
     ).first()
     if bad["test"]:
-        raise ValueError("calibration fitting rejects test split labels")
+        raise ValueError("test rows must not be fitted")
     if bad["other"]:
-        raise ValueError("calibration fitting requires split=calibration records")
+        raise ValueError("only rows of the calibration split may be fitted")
     if bad["failed"]:
-        raise ValueError("calibration fitting requires successful labelled predictions")
+        raise ValueError("only ok rows with a label may be fitted")
     if bad["bare"]:
-        raise ValueError("temperature calibration requires probabilities")
+        raise ValueError("rows to fit need a probability map")
     if not bad["rows"]:
-        raise ValueError("calibration inputs must not be empty")
+        raise ValueError("there is nothing to fit")
 
 
 def _log_vector(probabilities: Column, classes: Column) -> Column:
@@ -49,80 +49,96 @@ def _log_vector(probabilities: Column, classes: Column) -> Column:
     return F.transform(class_vector(probabilities, classes), lambda p: F.log(F.greatest(p, floor)))
 
 
-def _tempered_nll(logs: Column, at_gold: Column, inverse_t: Column) -> Column:
-    """-log softmax(logs / T)[gold], shifted by the largest logit."""
-    top = F.array_max(logs)
-    mass = F.aggregate(logs, F.lit(0.0), lambda acc, v: acc + F.exp((v - top) * inverse_t))
-    return F.log(mass) + (top - at_gold) * inverse_t
+def _with_moments(rows: DataFrame) -> DataFrame:
+    """Loss, slope and curvature of -log softmax(s * logs)[gold] in ``s``, the inverse temperature."""
+    top = F.array_max("_logs")
+    weights = F.transform("_logs", lambda v: F.exp((v - F.array_max("_logs")) * F.col("_s")))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v)
+    first = F.zip_with("_w", "_logs", lambda w, v: w * v)
+    second = F.zip_with("_w", "_logs", lambda w, v: w * v * v)
+    out = rows.withColumn("_w", weights).withColumn("_m", add("_w"))
+    out = out.withColumn("_e1", add(first) / F.col("_m")).withColumn("_e2", add(second) / F.col("_m"))
+    return out.withColumns(
+        {
+            "_loss": F.log("_m") + (top - F.col("_gold")) * F.col("_s"),
+            "_slope": F.col("_e1") - F.col("_gold"),
+            "_curve": F.col("_e2") - F.col("_e1") * F.col("_e1"),
+        }
+    )
 
 
 def fit_temperature(df: DataFrame, by: Sequence[str], classes: Column, checked: bool = True) -> DataFrame:
     """CAL1: temperature of lowest mean NLL per group; 1.0 unless it improves.
 
-    Every pass scores one grid of log temperatures for all groups in one job and
-    brackets the best point again.
+    The loss is convex in the inverse temperature: each pass is one evaluation per
+    row and a Newton step per group, halving the bracket where a step leaves it.
+    Parameters stay a table, so any number of groups can be fitted. The result
+    names its method, split and class order, which ``apply_temperature`` checks.
     """
     if checked:
         check_fit_rows(df)
-    logs = _log_vector(F.col("probabilities"), classes)
+    keys = list(by) or ["_all"]
     gold_at = F.array_position(classes, F.col("gold"))
-    outside = F.raise_error("calibration label is outside class_order").cast("double")
-    rows = df.select(
-        *[F.col(c).cast("string").alias(c) for c in by],
+    named = refuse(df, F.coalesce(gold_at, F.lit(0)) == 0, "a calibration label is none of the classes")
+    logs = _log_vector(F.col("probabilities"), classes)
+    rows = named.select(
+        *[(F.col(c).cast("string") if by else F.lit("all")).alias(c) for c in keys],
         logs.alias("_logs"),
-        F.when(gold_at > 0, F.element_at(logs, gold_at.cast("int"))).otherwise(outside).alias("_gold"),
+        F.element_at(logs, gold_at.cast("int")).alias("_gold"),
+        classes.alias("_classes"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    spark = df.sparkSession
-    try:
-        groups = [tuple(r) for r in collect_bounded(rows.select(*by).distinct(), MAX_GROUPS, "the calibration groups")]
-        groups = groups if by else [()]
-        schema = ", ".join([*[f"`{c}` string" for c in by], "_point int", "_inverse double"])
+    low, high = (math.exp(x) for x in LOG_T_RANGE)
 
-        def score(points: dict[tuple, list[float]]) -> dict[tuple, dict[int, float]]:
-            table = spark.createDataFrame(
-                [(*g, i, math.exp(-x)) for g, xs in points.items() for i, x in enumerate(xs)], schema
-            )
-            grid = table.groupBy(*by).agg(F.collect_list(F.struct("_point", "_inverse")).alias("_grid"))
-            joined = rows.join(F.broadcast(grid), list(by)) if by else rows.withColumn("_grid", grid.scalar())
-            loss = _tempered_nll(F.col("_logs"), F.col("_gold"), F.col("_inverse"))
-            means = (
-                joined.select(*by, "_logs", "_gold", F.inline("_grid"))
-                .groupBy(*by, "_point")
-                .agg(F.avg(loss).alias("_nll"), F.count("*").alias("_n"))
+    def measured(params: DataFrame) -> DataFrame:
+        return _with_moments(rows.join(params, keys)).groupBy(*keys).agg(
+            F.avg("_loss").alias("_loss"), F.avg("_slope").alias("_slope"), F.avg("_curve").alias("_curve")
+        )
+
+    def moved(params: DataFrame) -> DataFrame:
+        step = params.join(measured(params.where("not _done").select(*keys, "_s")), keys, "left")
+        lo = F.when(F.col("_slope") <= 0, F.col("_s")).otherwise(F.col("_lo"))
+        hi = F.when(F.col("_slope") > 0, F.col("_s")).otherwise(F.col("_hi"))
+        step = step.withColumn("_lo", F.coalesce(lo, "_lo")).withColumn("_hi", F.coalesce(hi, "_hi"))
+        newton = F.col("_s") - F.try_divide(F.col("_slope"), F.col("_curve"))
+        inside = F.coalesce((F.col("_curve") > 0) & (newton > F.col("_lo")) & (newton < F.col("_hi")), F.lit(False))
+        past = (F.col("_slope") <= 0) & F.coalesce(newton >= F.col("_hi"), F.lit(True))  # towards the end of the range
+        onward = F.when(inside, newton).when(past, F.col("_hi")).otherwise(F.sqrt(F.col("_lo") * F.col("_hi")))
+        step = step.withColumn("_next", onward)
+        near = F.abs(F.log(F.col("_next") / F.col("_s"))) < TOLERANCE
+        return step.select(
+            *keys,
+            F.when(F.col("_done"), F.col("_s")).otherwise(F.col("_next")).alias("_s"),
+            "_lo",
+            "_hi",
+            (F.col("_done") | near).alias("_done"),
+        )
+
+    try:
+        start = rows.groupBy(*keys).agg(F.count("*").alias("fit_rows"), F.any_value("_classes").alias("class_order"))
+        start = cut_lineage(start)
+        params = start.select(
+            *keys, F.lit(1.0).alias("_s"), F.lit(low).alias("_lo"), F.lit(high).alias("_hi"), F.lit(False).alias("_done")
+        )
+        for _ in range(PASSES):
+            params = cut_lineage(moved(params))
+            if params.where("not _done").isEmpty():
+                break
+        before = measured(start.select(*keys, F.lit(1.0).alias("_s"))).select(*keys, F.col("_loss").alias("nll_before"))
+        after = measured(params.select(*keys, "_s")).select(*keys, F.col("_loss").alias("_after"))
+        better = F.col("_after") <= F.col("nll_before")
+        fitted = start.join(params, keys).join(before, keys).join(after, keys)
+        return cut_lineage(
+            fitted.select(
+                *by,
+                F.when(better, 1 / F.col("_s")).otherwise(1.0).alias("temperature"),
+                "nll_before",
+                F.least("_after", "nll_before").alias("nll_after"),
+                "fit_rows",
+                F.lit("temperature").alias("method"),
+                F.lit("calibration").alias("fit_split"),
+                "class_order",
             )
-            out: dict[tuple, dict[int, float]] = {}
-            for r in collect_bounded(means, MAX_GROUPS * (GRID_POINTS + 1), "the grid scores"):
-                out.setdefault(tuple(r[c] for c in by), {})[r["_point"]] = (r["_nll"], r["_n"])
-            return out
-
-        low, high = LOG_T_RANGE
-        bracket = {g: (low, high) for g in groups}
-        best = {g: (0.0, math.inf) for g in groups}
-        raw: dict[tuple, float] = {}
-        size: dict[tuple, int] = {}
-        for number in range(GRID_PASSES):
-            points = {}
-            for g, (a, b) in bracket.items():
-                step = (b - a) / (GRID_POINTS - 1)
-                points[g] = [a + i * step for i in range(GRID_POINTS)] + [0.0]
-            scores = score(points)
-            for g in groups:
-                if number == 0:
-                    raw[g], size[g] = scores[g][GRID_POINTS]
-                spot = min(range(GRID_POINTS), key=lambda i, s=scores[g]: (s[i][0], i))
-                xs = points[g]
-                if scores[g][spot][0] < best[g][1]:
-                    best[g] = (xs[spot], scores[g][spot][0])
-                bracket[g] = (xs[max(spot - 1, 0)], xs[min(spot + 1, GRID_POINTS - 1)])
-        out = []
-        for g in groups:
-            x, value = best[g]
-            t = math.exp(x) if value <= raw[g] else 1.0
-            out.append((*g, t, raw[g], min(value, raw[g]), size[g]))
-        fields = ", ".join(
-            [*[f"`{c}` string" for c in by], "temperature double, nll_before double, nll_after double, fit_rows bigint"]
         )
-        return spark.createDataFrame(out, fields)
     finally:
         rows.unpersist()
 
@@ -141,12 +157,14 @@ def apply_temperature(df: DataFrame, model: DataFrame, by: Sequence[str], classe
 
     Reads no labels. The model has one row per group; the planner broadcasts it when it is small.
     """
-    joined = df.join(model.select(*by, "temperature"), list(by), "left")
+    named = [c for c in ("class_order",) if c in model.columns]
+    joined = df.join(model.select(*by, "temperature", *named), list(by), "left")
+    if named:
+        joined = refuse(joined, F.col("class_order") != classes, "the model was fitted for another class order")
+        joined = joined.drop("class_order")
+    joined = refuse(joined, F.col("temperature") <= 0, "a temperature is not positive")
     usable = F.col("temperature").isNotNull() & F.col("probabilities").isNotNull()
-    bad = F.raise_error("temperature must be positive").cast("map<string,double>")
-    tempered = F.when(F.col("temperature") <= 0, bad).otherwise(
-        softmax_at(F.col("probabilities"), F.col("temperature"), classes)
-    )
+    tempered = softmax_at(F.col("probabilities"), F.col("temperature"), classes)
     return joined.withColumns(
         {
             "probabilities": F.when(usable, tempered).otherwise(F.col("probabilities")),
@@ -184,48 +202,42 @@ def fit_platt(df: DataFrame, by: Sequence[str], positive: str, checked: bool = T
     """CAL3: binary logistic scaling by Newton steps; each step is five sums per group."""
     if checked:
         check_fit_rows(df)
+    keys = list(by) or ["_all"]
     rows = df.select(
-        *[F.col(c).cast("string").alias(c) for c in by],
+        *[(F.col(c).cast("string") if by else F.lit("all")).alias(c) for c in keys],
         log_odds(F.try_element_at("probabilities", F.lit(positive))).alias("_x"),
         (F.col("gold") == positive).cast("double").alias("_y"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    spark = df.sparkSession
-    fields = ", ".join([*[f"`{c}` string" for c in by], "slope double, intercept double"])
+
+    def moved(params: DataFrame) -> DataFrame:
+        joined = rows.join(params.where("not _done").select(*keys, "slope", "intercept"), keys)
+        joined = joined.withColumn("_q", sigmoid(F.col("slope") * F.col("_x") + F.col("intercept")))
+        w = F.col("_q") * (1 - F.col("_q"))
+        sums = joined.groupBy(*keys).agg(
+            F.sum((F.col("_q") - F.col("_y")) * F.col("_x")).alias("g1"),
+            F.sum(F.col("_q") - F.col("_y")).alias("g2"),
+            (F.sum(w * F.col("_x") * F.col("_x")) + 1e-8).alias("h11"),
+            F.sum(w * F.col("_x")).alias("h12"),
+            (F.sum(w) + 1e-8).alias("h22"),
+        )
+        det = F.col("h11") * F.col("h22") - F.col("h12") * F.col("h12")
+        d1 = F.when(det > 0, (F.col("h22") * F.col("g1") - F.col("h12") * F.col("g2")) / det)
+        d2 = F.when(det > 0, (F.col("h11") * F.col("g2") - F.col("h12") * F.col("g1")) / det)
+        return params.join(sums, keys, "left").select(
+            *keys,
+            (F.col("slope") - F.coalesce(d1, F.lit(0.0))).alias("slope"),
+            (F.col("intercept") - F.coalesce(d2, F.lit(0.0))).alias("intercept"),
+            F.coalesce(F.greatest(F.abs(d1), F.abs(d2)) < 1e-9, F.lit(True)).alias("_done"),
+        )
+
     try:
-        groups = [tuple(r) for r in collect_bounded(rows.select(*by).distinct(), MAX_GROUPS, "the calibration groups")]
-        params = {g: (1.0, 0.0) for g in (groups if by else [()])}
-        moving = set(params)
-        for _ in range(100):
-            if not moving:
+        params = rows.select(*keys).distinct()
+        params = params.select(*keys, F.lit(1.0).alias("slope"), F.lit(0.0).alias("intercept"), F.lit(False).alias("_done"))
+        for _ in range(PASSES):
+            params = cut_lineage(moved(params))
+            if params.where("not _done").isEmpty():
                 break
-            table = spark.createDataFrame([(*g, *params[g]) for g in moving], fields)
-            if by:
-                joined = rows.join(F.broadcast(table), list(by))
-            else:
-                joined = rows.withColumns({"slope": F.lit(params[()][0]), "intercept": F.lit(params[()][1])})
-            q = sigmoid(F.col("slope") * F.col("_x") + F.col("intercept"))
-            joined = joined.withColumn("_q", q)
-            w = F.col("_q") * (1 - F.col("_q"))
-            sums = joined.groupBy(*by).agg(
-                F.sum((F.col("_q") - F.col("_y")) * F.col("_x")).alias("g1"),
-                F.sum(F.col("_q") - F.col("_y")).alias("g2"),
-                F.sum(w * F.col("_x") * F.col("_x")).alias("h11"),
-                F.sum(w * F.col("_x")).alias("h12"),
-                F.sum(w).alias("h22"),
-            )
-            for r in collect_bounded(sums, MAX_GROUPS, "the Newton sums"):
-                g = tuple(r[c] for c in by)
-                h11, h22 = r["h11"] + 1e-8, r["h22"] + 1e-8
-                det = h11 * h22 - r["h12"] ** 2
-                if det <= 0:
-                    moving.discard(g)
-                    continue
-                d1 = (h22 * r["g1"] - r["h12"] * r["g2"]) / det
-                d2 = (h11 * r["g2"] - r["h12"] * r["g1"]) / det
-                params[g] = (params[g][0] - d1, params[g][1] - d2)
-                if max(abs(d1), abs(d2)) < 1e-9:
-                    moving.discard(g)
-        return spark.createDataFrame([(*g, *p) for g, p in params.items()], fields)
+        return params.select(*by, "slope", "intercept")
     finally:
         rows.unpersist()
 

@@ -33,20 +33,39 @@ _NLL = """CASE WHEN mode='single' THEN
   +(ln(conf)-ln(CASE gold WHEN 'A' THEN p1 WHEN 'B' THEN p2 ELSE p3 END))/t END"""
 
 
+_SLOPE = """CASE WHEN mode='single' THEN [ln(p1),ln(p2)] ELSE [ln(p1),ln(p2),ln(p3)] END AS l,
+ ln(CASE WHEN gold IN ('pass','A') THEN p1 WHEN gold IN ('fail','B') THEN p2 ELSE p3 END) AS lg"""
+
+
+def _inverse_newton(k: int) -> str:
+    return f"""w{k} AS (SELECT judge_id, mode, s-avg(e1-lg)/avg(e2-e1*e1) AS s FROM (
+  SELECT lv.judge_id, lv.mode, lg, s, list_sum([exp(s*x)*x FOR x IN l])/list_sum([exp(s*x) FOR x IN l]) AS e1,
+   list_sum([exp(s*x)*x*x FOR x IN l])/list_sum([exp(s*x) FOR x IN l]) AS e2
+  FROM lv JOIN w{k - 1} USING (judge_id, mode)) GROUP BY judge_id, mode, s)"""
+
+
+_INVERSE = (
+    f"lv AS (SELECT judge_id, mode, {_SLOPE} FROM ft)",
+    "w0 AS (SELECT DISTINCT judge_id, mode, 1.0::DOUBLE AS s FROM lv)",
+    *[_inverse_newton(k) for k in range(1, 13)],
+)
+
+
 @query(
     "CAL1",
     D.scored_with(
         _FIT,
         f"""gr AS (SELECT judge_id, mode, t, avg({_NLL}) AS nll, count(*) AS n
  FROM ft, (SELECT exp(i*0.002::DOUBLE) AS t FROM range(-3000,3001) r(i)) GROUP BY ALL)""",
+        *_INVERSE,
     )
-    + """ SELECT judge_id, mode, round(max(nll) FILTER (t=1.0),9) AS nll_before,
- round(least(min(nll),max(nll) FILTER (t=1.0)),5) AS nll_after, max(n) AS fit_rows FROM gr GROUP BY ALL""",
+    + """ SELECT judge_id, mode, round(any_value(1/s),4) AS temperature, round(max(nll) FILTER (t=1.0),9) AS nll_before,
+ round(least(min(nll),max(nll) FILTER (t=1.0)),5) AS nll_after, max(n) AS fit_rows FROM gr JOIN w12 USING (judge_id, mode) GROUP BY ALL""",
 )
 def temperature_fit(spark, sf):
     model = C.fit_temperature(fit_rows(spark, sf), ["judge_id", "mode"], mode_classes())
     return model.select(
-        "judge_id", "mode", F.round("nll_before", 9).alias("nll_before"), F.round("nll_after", 5).alias("nll_after"), "fit_rows"
+        "judge_id", "mode", F.round("temperature", 4).alias("temperature"), F.round("nll_before", 9).alias("nll_before"), F.round("nll_after", 5).alias("nll_after"), "fit_rows"
     )
 
 
@@ -105,13 +124,18 @@ def platt_applied(spark, sf):
     return rounded(out.select("judge_id", "record_id", p["pass"].alias("p_pass"), p["fail"].alias("p_fail")))
 
 
-@query("CAL5")
+@query(
+    "CAL5",
+    D.scored_with(_FIT, *_INVERSE)
+    + """ SELECT judge_id, record_id, mode, label, true AS calibrated,
+ round(1/(exp(s*(ln(p1)-ln(conf)))+exp(s*(ln(p2)-ln(conf)))+CASE WHEN mode='single' THEN 0 ELSE exp(s*(ln(p3)-ln(conf))) END),6) AS confidence
+ FROM sc JOIN w12 USING (judge_id, mode) WHERE resolved=1 AND has_p""",
+)
 def calibrators_by_mode(spark, sf):
-    rows = fit_rows(spark, sf).filter("judge_id = 'b'")
-    model = C.fit_by_mode(rows, mode_classes(), ["single", "pairwise"])
-    out = C.apply_temperature(usable(spark, sf).filter("judge_id = 'b'"), model, ["mode"], mode_classes())
+    model = C.fit_temperature(fit_rows(spark, sf), ["judge_id", "mode"], mode_classes())
+    out = C.apply_temperature(usable(spark, sf), model, ["judge_id", "mode"], mode_classes())
     values = F.map_values("probabilities")
-    return rounded(out.select("record_id", "mode", "label", "calibrated", F.array_max(values).alias("confidence")))
+    return rounded(out.select("judge_id", "record_id", "mode", "label", "calibrated", F.array_max(values).alias("confidence")), 6)
 
 
 @query(

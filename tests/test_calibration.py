@@ -57,7 +57,13 @@ def test_applying_keeps_ranking_and_mass(spark):
 
 @pytest.mark.parametrize(
     "change,message",
-    [({1: "test"}, "rejects test"), ({1: "dev"}, "split=calibration"), ({4: "parse_error"}, "successful"), ({5: None}, "requires probabilities"), ({2: "C"}, "outside class_order")],
+    [
+        ({1: "test"}, "test rows"),
+        ({1: "dev"}, "only rows of the calibration split"),
+        ({4: "parse_error"}, "only ok rows"),
+        ({5: None}, "need a probability map"),
+        ({2: "C"}, "none of the classes"),
+    ],
 )
 def test_fitting_is_fail_closed(spark, change, message):
     bad = list(rows(1, 3)[0])
@@ -128,3 +134,11 @@ def test_local_risk_counts_missing_labels(spark):
     empty = P.routing_summary(df.filter("route = 'escalate'").withColumn("k", F.lit(1)), ["k"]).first()
     assert empty["local_accepted_risk"] == 0.0 and empty["final_resolved_risk"] is None
     assert (empty["local_risk_low"], empty["local_risk_high"]) == (0.0, 1.0)
+
+
+def test_model_of_another_class_order_is_refused(spark):
+    df = spark.createDataFrame(rows(50, 5), SCHEMA)
+    model = C.fit_temperature(df, ["mode"], lit_array(AB))
+    assert model.first()["class_order"] == list(AB)
+    with pytest.raises(Exception, match="another class order"):
+        C.apply_temperature(df, model, ["mode"], lit_array(AB[::-1])).select("mode").collect()
