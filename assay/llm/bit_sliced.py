@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.llm.common import ready_workers
+
 BLOCK_ROWS = 4096
 SPAN_ROWS = 4096
 MOST_SPANS = 256
@@ -190,6 +192,7 @@ def top_rows(
     chunk_queries: int = CHUNK_QUERIES,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query, itself left out."""
+    ready_workers(rows)
     finite = F.forall(
         vector_col, lambda x: F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x.cast("double")), F.lit(False))
     )

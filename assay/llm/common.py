@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "1000"
+
+
+def ready_workers(df: DataFrame) -> None:
+    """Settings of the session for Python tasks: batches of few rows, and this package on their path.
+
+    Texts may be long and a batch is held whole, so 10,000 rows are too many.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and texts only; a null text counts as empty, other columns are left behind."""
+    ready_workers(docs)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -63,6 +82,7 @@ def filtered(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.Ar
 
     ``judge`` makes one judge per task: an array of texts (nulls as empty) to flags.
     """
+    ready_workers(docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,8 @@ computed exactly, in bounded pairs of row blocks: overlaps are counted first ove
 each row's rarest columns, pairs without overlap there cannot reach the bound
 that follows from their sizes, and only the others are counted in full.
 
-Blocks without any column, or with columns only that a large share of all documents
-holds (passages, licence lines), say little. There are more blocks than may
+Blocks with fewer than two columns say little, not counting columns that a
+large share of all documents holds (passages, licence lines). There are more blocks than may
 differ, so most rows do without theirs; a row with many such blocks, like the
 members of a large family of copies, uses them too. The few rows with very many empty
 blocks join those with their smallest hashes, of which linked rows share one. Which columns are common only
@@ -41,9 +41,10 @@ BLOCK_SHINGLES = 1 << 20  # shingles of a row block
 SLICE_ROWS = 500
 SEEN = 500_000
 KEYS_AT_ONCE = 1 << 19
-COMMON_SHARE = 0.002  # of all documents; at most (mean set size / share) columns are that common
+LEAST_RARE = 2  # columns that are not common, in a block that says enough
+COMMON_SHARE = 0.0005  # of all documents; at most (mean set size / share) columns are that common
 COMMON_LEAST = 10
-COUNTED_AT_ONCE = 1 << 22  # shingles whose documents are counted together in a task
+COUNTED_AT_ONCE = 1 << 20  # shingles whose documents are counted together in a task
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 ODD3 = np.uint64(0x165667B19E3779F9)
@@ -107,15 +108,15 @@ class Bounds:
 
     @lru_cache(maxsize=4096)  # noqa: B019  one object per task
     def blocks(self, band: int) -> int:
-        """Column blocks of a band: enough that few rows of it have too many empty ones."""
+        """Column blocks of a band: enough that few rows of it have too many weak ones."""
         sizes = np.unique(np.linspace(self.edges[band], self.edges[band + 1] - 1, 5).astype(np.int64))
         differ = [self.differ(int(n), band) for n in sizes]
         if not differ[-1]:
             return 1  # linked rows are equal
         for blocks in range(differ[-1] + 1, 2 * differ[-1] + 8):
-            empty = [blocks * exp(-n / blocks) for n in sizes]
+            weak = [blocks * exp(-n / blocks) * (1 + n / blocks) for n in sizes]
             spare = 1 + blocks // 50  # for a few blocks of common columns
-            if all(blocks - d >= e + 2 * sqrt(e) + spare for d, e in zip(differ, empty, strict=True)):
+            if all(blocks - d >= w + 2 * sqrt(w) + spare for d, w in zip(differ, weak, strict=True)):
                 return blocks
         return differ[-1] + 1
 
@@ -141,7 +142,7 @@ def signatures(row: np.ndarray, bounds: Bounds, common: np.ndarray) -> np.ndarra
         low = np.bincount(place, (spread & LOW32).astype(np.float64), blocks).astype(np.uint64)
         high = np.bincount(place, (spread >> np.uint64(32)).astype(np.float64), blocks).astype(np.uint64)
         key = mix(mix(low + ODD * high) + np.arange(blocks, dtype=np.uint64) * ODD2 + np.uint64(band))
-        strong = np.bincount(place, rare, blocks) > 0
+        strong = (np.bincount(place, rare, blocks) >= LEAST_RARE) | (blocks == 1)
         out.append(key[strong])
         equal = blocks - bounds.differ(len(row), band)  # so many blocks at least are equal in linked rows
         filled = np.bincount(place, minlength=blocks) > 0

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import texts
+from assay.llm.common import ready_workers, texts
 
 MARK = "▁"
 NONE = np.int64(1) << 60
@@ -333,6 +333,7 @@ def encoded(
 def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """doc_id, text from ids; null ids are no pieces."""
     path = path or model_path()
+    ready_workers(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)

@@ -117,8 +117,8 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SLICE_ROWS):
-                total.update(trigrams_of(word_counts(batch.column(0).slice(at, 4 * SLICE_ROWS))))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                total.update(trigrams_of(word_counts(batch.column(0).slice(at, SLICE_ROWS))))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"]
         )
