@@ -114,7 +114,7 @@ def with_probability_scores(df: DataFrame, classes: Column) -> DataFrame:
     at_gold = F.coalesce(F.try_element_at(p, F.col("gold")), F.lit(0.0))
     conf = F.array_max("_vector")
     known = F.array_contains("_classes", F.col("gold"))
-    out = refuse(out, p.isNotNull() & ~known, "a gold label is none of the classes")
+    out = refuse(out, p.isNotNull() & ~known, "gold label outside the class order")
     nll = F.when(p.isNotNull(), -F.log(F.greatest(F.lit(PROBABILITY_FLOOR), at_gold)))
     return out.withColumns(
         {
@@ -329,7 +329,7 @@ def quantiles(
 
 def latency_summary(df: DataFrame, by: Sequence[str], method: str = "linear") -> DataFrame:
     """AGG13: count, mean, min, max, median and p95; a negative latency fails the job."""
-    df = refuse(df, F.col("latency_ms") < 0, "a latency is below zero")
+    df = refuse(df, F.col("latency_ms") < 0, "latencies must be non-negative")
     ms = F.col("latency_ms")
     plain = df.groupBy(*by).agg(
         F.count(ms).alias("count"), F.avg(ms).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms")
