@@ -101,7 +101,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_models.judged(table(spark, sf_dir, "pages"))
+    return url_models.judged(table(spark, sf_dir, "pages"), whole=True)
 
 
 @query(

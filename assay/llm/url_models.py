@@ -6,12 +6,14 @@ shorter one (Witten-Bell). A URL's score is the difference of its
 log-likelihoods under both, divided by its number of characters; the threshold
 is where the rates of wrongly rejected and wrongly accepted rule-decided URLs
 meet. All counts cover all rows. Models hold one row per distinct gram, joined
-by gram; URLs are scored once per distinct host and path, so a repeated URL or a
-hot host is one row per map task.
-
-A null URL or one without ``://`` has an empty host and path, which the model
-scores like any other string. Null ids pass through; repeated rows each get the
-same verdict. When the rules accept or reject nothing, a score has no sign and
+by gram; strings are scored once per distinct value, so a repeated URL or a hot
+host is one row per map task.
+
+With ``whole`` the models learn and score the whole URL as it is written, scheme,
+query and fragment included; without it only host and path, one after the other.
+Rules read host and path either way. A null URL counts as empty; one without
+``://`` has an empty host and path, so only ``whole`` tells such URLs apart. Null
+ids pass through; repeated rows each get the same verdict. When the rules accept or reject nothing, a score has no sign and
 the verdict is allow.
 """
 
@@ -121,32 +123,35 @@ def balanced_threshold(scored: DataFrame) -> float:
 
 
 def judged(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = ORDER
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    rules=RULES,
+    order: int = ORDER,
+    whole: bool = False,
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, score, threshold."""
+    """page_id, host, path, rule, verdict, score, threshold; the query sets ``whole``."""
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    text = F.coalesce(F.col(url_col), F.lit("")) if whole else F.concat(host, path)
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), text.alias("text"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("decided", verdict)
     kinds = [F.count_if(F.col("decided") == k).alias(k) for k in ("allow", "block")]
-    strings = saved(rows.groupBy("host", "path").agg(*kinds), "urls")
-    spelled = strings.select(
-        "host", "path", "allow", "block", F.explode(grams(F.concat("host", "path"), order)).alias("gram")
-    )
+    strings = saved(rows.groupBy("text").agg(*kinds), "urls")
+    spelled = strings.select("text", "allow", "block", F.explode(grams(F.col("text"), order)).alias("gram"))
     counts = saved(
         spelled.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-grams"
     )
     ratios = saved(gram_ratios(counts, order), "url-ratios")
     scored = saved(
-        spelled.select("host", "path", "allow", "block", "gram")
-        .join(ratios, "gram")
-        .groupBy("host", "path")
+        spelled.join(ratios, "gram")
+        .groupBy("text")
         .agg(F.avg("ratio").alias("score"), F.first("allow").alias("allow"), F.first("block").alias("block")),
         "url-scores",
     )
     threshold = balanced_threshold(scored)
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return rows.join(scored.select("host", "path", "score"), ["host", "path"]).select(
+    return rows.join(scored.select("text", "score"), "text").select(
         "page_id",
         "host",
         "path",
