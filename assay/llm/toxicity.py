@@ -1,16 +1,20 @@
 """Toxicity behind disguises: a noisy channel before a learned lexicon.
 
-1. A character trigram model is counted over all texts (distinct words of each
-   batch with their counts, summed by Spark).
+1. One pass over all texts counts every character trigram (distinct words of each
+   batch with their counts, summed by Spark) and writes the disguised spans of
+   each text, keyed by the MD5 of the text. Neither table is cut or collected.
 2. Disguised spans are found: words with signs or digits inside or with long runs
    of one letter, and letters spelled apart. The channel lets an observed
    sign stand for several letters, a run shrink to one or two letters and
    separators vanish; Viterbi search through that lattice under the trigram
-   model restores the likeliest spelling.
+   model restores the likeliest spelling, once per distinct span. The trigrams
+   that the lattices need are joined to the counts, so a task holds the costs of
+   the spans at hand only.
 3. A lexicon of words and word beginnings is learned from a bounded sample of
    labelled texts by a sparse logistic regression.
 4. The score of a text is the probability that this regression gives to the
-   lexicon entries among its words and restored words.
+   lexicon entries among its words and restored words; the latter reach it by a
+   join of texts and spans.
 
 Null and empty texts hold no evidence and get the base score. With nothing to
 learn from every score is 0. Rows are scored alone: repeated rows, hot sources
@@ -19,10 +23,11 @@ and very long texts need nothing special. A row without an id is never learned f
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import filtered, id_remainder, texts
+from assay.llm.common import id_remainder, ready_workers, saved, texts
 from assay.session import collect_bounded
 
 PER_LABEL = 3000
@@ -42,7 +47,6 @@ PENALTY = 2.5
 STEPS = 600
 THRESHOLD = 0.3
 SLICE_ROWS = 1000
-MOST_GRAMS = 200_000  # of the character model, the most frequent ones
 
 # Letters that a sign often stands for.
 LEET = {
@@ -87,7 +91,7 @@ def word_counts(column: pa.Array) -> list[tuple[str, int]]:
 
 
 class CharacterModel:
-    """Interpolated trigram log-probabilities."""
+    """Interpolated trigram log-probabilities of counts held in memory; ``gram_costs`` is the same over tables."""
 
     def __init__(self, counts: Iterable[tuple[str, int]]):
         self.three: dict[str, int] = dict(counts)
@@ -111,19 +115,68 @@ class CharacterModel:
         return -math.log(p3)
 
 
-def trigram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, n) over all texts: one row per gram and task, then summed."""
+def grams_and_spans(rows: DataFrame) -> DataFrame:
+    """(gram, n) over all texts, one row per gram and task, and (text_key, span, apart) per text, in one table."""
+    keyed = rows.select("text", text_key(F.col("text")).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                total.update(trigrams_of(word_counts(batch.column(0).slice(at, SLICE_ROWS))))
+                cut = batch.slice(at, SLICE_ROWS)
+                total.update(trigrams_of(word_counts(cut.column(0))))
+                found = list(spans_of_batch(cut.column(0)))
+                keys = cut.column(1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.nulls(len(found), pa.string()),
+                        pa.nulls(len(found), pa.int64()),
+                        keys.take(pa.array([row for row, _, _ in found], pa.int64())),
+                        pa.array([span for _, span, _ in found], pa.string()),
+                        pa.array([apart for _, _, apart in found], pa.bool_()),
+                    ],
+                    schema=pa.schema(
+                        [("gram", pa.string()), ("n", pa.int64()), ("text_key", keys.type), ("span", pa.string()), ("apart", pa.bool_())]
+                    ),
+                )
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"]
+            [
+                pa.array(list(total), pa.string()),
+                pa.array(list(total.values()), pa.int64()),
+                pa.nulls(len(total), pa.binary()),
+                pa.nulls(len(total), pa.string()),
+                pa.nulls(len(total), pa.bool_()),
+            ],
+            names=["gram", "n", "text_key", "span", "apart"],
         )
 
-    return rows.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return keyed.mapInArrow(run, "gram string, n long, text_key binary, span string, apart boolean")
+
+
+def gram_costs(needed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, cost) for the distinct grams of ``needed``, as ``CharacterModel.cost`` gives them."""
+
+    def summed(at: int, size: int, name: str) -> DataFrame:
+        return counts.groupBy(F.substring("gram", at, size).alias(f"k_{name}")).agg(F.sum("n").alias(name))
+
+    one = summed(3, 1, "one")
+    whole = one.agg(F.coalesce(F.sum("one"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("signs")).first()
+    rows = needed.select("gram").distinct()
+    for at, size, table_ in (
+        (1, 3, summed(1, 3, "three")),
+        (1, 2, summed(1, 2, "before")),
+        (2, 2, summed(2, 2, "two")),
+        (2, 1, summed(2, 1, "middle")),
+        (3, 1, one),
+    ):
+        key = table_.columns[0]
+        rows = rows.join(table_, F.substring("gram", at, size) == F.col(key), "left").drop(key)
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("three", "before", "two", "middle", "one")}
+    signs = whole["signs"] + 1
+    p1 = (n["one"] + 0.5) / F.lit(whole["all"] + 0.5 * signs)
+    p2 = (n["two"] + 5 * p1) / (n["middle"] + 5)
+    p3 = (n["three"] + 5 * p2) / (n["before"] + 5)
+    return rows.select("gram", (-F.log(p3)).alias("cost"))
 
 
 # --- the channel -----------------------------------------------------------------------------
@@ -170,6 +223,55 @@ def restored(span: str, model: CharacterModel) -> str:
     return min((cost + model.cost(state, EDGE), text) for state, (cost, text) in paths.items())[1]
 
 
+def grams_needed(span: str) -> set[str]:
+    """The trigrams that ``restored`` may ask the costs of."""
+    states, out = {EDGE + EDGE}, set()
+    for options in readings(span):
+        onward = set()
+        for state in states:
+            for letter, _ in options:
+                if letter:
+                    out.add(state + letter)
+                onward.add(state[1] + letter if letter else state)
+        states = onward
+    return out | {state + EDGE for state in states}
+
+
+class Costs:
+    """Costs of the trigrams at hand."""
+
+    def __init__(self, known: dict[str, float]):
+        self.known = known
+
+    def cost(self, before: str, c: str) -> float:
+        return self.known[before + c]
+
+
+def restored_spans(spans: DataFrame, counts: DataFrame) -> DataFrame:
+    """(span, spelled) for every distinct span, each restored once from the costs of its own lattice."""
+
+    def list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                pairs = [(x, g) for x in batch.column(0).slice(at, SLICE_ROWS).to_pylist() for g in grams_needed(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["span", "gram"]
+                )
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled = [
+                restored(span, Costs({c["gram"]: c["cost"] for c in costs}))
+                for span, costs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spelled, pa.string())], names=["span", "spelled"])
+
+    needed = saved(spans.select("span").distinct().mapInArrow(list_grams, "span string, gram string"), "span-grams")
+    costs = saved(gram_costs(needed, counts), "gram-costs")
+    lattices = needed.join(costs, "gram").groupBy("span").agg(F.collect_list(F.struct("gram", "cost")).alias("costs"))
+    return lattices.mapInArrow(restore, "span string, spelled string")
+
+
 class Restorer:
     """Restores spans and remembers a bounded number of them."""
 
@@ -185,11 +287,38 @@ class Restorer:
         return found
 
 
-def restored_words(text: str, restore: Restorer) -> list[str]:
+def spans_of(text: str) -> set[tuple[str, bool]]:
+    """The disguised spans of a lower-cased text, and whether they are spelled apart."""
+    out = {(t, False) for t in map(trimmed, text.split()) if DISGUISED.search(t)}
+    return out | {(m.group(), True) for m in SPELLED_APART.finditer(text)}
+
+
+def spans_of_batch(column: pa.Array) -> Iterator[tuple[int, str, bool]]:
+    """(row, span, apart): ``spans_of`` each text; words are looked at once per batch."""
+    lower = pc.utf8_lower(column)
+    words = pc.split_pattern_regex(lower, r"[\pZ\s]+")
+    coded = pc.dictionary_encode(words.flatten())
+    spelled = coded.dictionary
+    maybe = pc.match_substring_regex(spelled, DISGUISED_RE2).to_numpy(zero_copy_only=False)
+    spans = {}
+    for i, w in enumerate(spelled.to_pylist()):
+        if (maybe[i] or DISGUISED.search(w)) and DISGUISED.search(seen := trimmed(w)):
+            spans[i] = seen
+    if spans:
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        spots = np.flatnonzero(np.isin(codes, np.fromiter(spans, np.int64)))
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        at = np.searchsorted(offsets, spots, side="right") - 1
+        for row, span in {(int(r), spans[int(codes[x])]) for r, x in zip(at, spots, strict=True)}:
+            yield row, span, False
+    for row in np.flatnonzero(pc.match_substring_regex(lower, SPELLED_APART_RE2).to_numpy(zero_copy_only=False)):
+        for span in {m.group() for m in SPELLED_APART.finditer(str(lower[int(row)]))}:
+            yield int(row), span, True
+
+
+def restored_words(text: str, restore: Callable[[str], str]) -> list[str]:
     """Restored spellings of the disguised spans of a lower-cased text."""
-    out = [restore(trimmed(w)) for w in text.split() if DISGUISED.search(trimmed(w))]
-    out += [restore(m.group()) for m in SPELLED_APART.finditer(text)]
-    return [w for w in out if w]
+    return [w for w in (restore(span) for span, _ in spans_of(text)) if w]
 
 
 # --- the lexicon -----------------------------------------------------------------------------
@@ -200,7 +329,7 @@ def keys_of(word: str) -> list[str]:
     return [word + EDGE, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def learn(rows: list[tuple[str, int]], restore: Restorer, toxic_share: float) -> tuple[dict[str, float], float]:
+def learn(rows: list[tuple[str, int]], restore: Callable[[str], str], toxic_share: float) -> tuple[dict[str, float], float]:
     """Weights of lexicon entries and the bias, from (text, label) rows."""
     n = [sum(label == k for _, label in rows) for k in (0, 1)]
     if not all(n):
@@ -208,7 +337,7 @@ def learn(rows: list[tuple[str, int]], restore: Restorer, toxic_share: float) ->
     held: dict[str, list[int]] = defaultdict(list)
     clean: dict[str, list[int]] = defaultdict(list)
     for i, (text, label) in enumerate(rows):
-        lower = text.lower()
+        lower = pc.utf8_lower(pa.scalar(text, pa.string())).as_py()
         for key in {k for w in {*WORD.findall(lower), *restored_words(lower, restore)} for k in keys_of(w)}:
             (held if label else clean)[key].append(i)
     # labels are sampled apart: weigh clean texts as they occur
@@ -287,13 +416,45 @@ def sample(docs: DataFrame, labels: DataFrame, learned: Column, per_label: int)
 SCHEMA = "doc_id long, score double, evidence array<string>"
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def fitted(rows: DataFrame, labels: DataFrame, learned: Column, per_label: int) -> tuple:
-    """Character model, lexicon and bias; ``rows`` are (doc_id, text)."""
-    grams = trigram_counts(rows)
-    frequent = grams.where("n > 1").orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
-    model = CharacterModel((r["gram"], r["n"]) for r in frequent)
+    """Lexicon, bias and the table (text_key, entries) of what restored words add; ``rows`` are (doc_id, text)."""
+    both = saved(grams_and_spans(rows), "toxicity-grams-spans")
+    counts = saved(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "toxicity-grams")
+    spans = both.where("span IS NOT NULL").select("text_key", "span", "apart")
+    spelled = saved(restored_spans(spans, counts), "toxicity-spelled")
     train_rows, share = sample(rows, labels, F.coalesce(learned, F.lit(False)), per_label)
-    return (model, *learn(train_rows, Restorer(model), share))
+    keys = rows.sparkSession.createDataFrame(
+        [(bytearray(hashlib.md5(t.encode()).digest()),) for t, _ in train_rows], "text_key binary"
+    ).distinct()  # at most 2 * per_label rows
+    own = spans.join(F.broadcast(keys), "text_key").select("span").distinct().join(spelled, "span").collect()
+    known = {r["span"]: r["spelled"] for r in own}  # of the sampled texts
+    lexicon, bias = learn(train_rows, lambda span: known.get(span, ""), share)
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # of bounded size
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for span, apart, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # letters spelled apart may run into each other: look for entries at every start
+                starts = range(len(word)) if apart else (0,)
+                entries = sorted({k for i in starts for k, _ in strength(word[i:], shared.value)})
+                if entries:
+                    found.append((span, apart, entries))
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            kinds = (pa.string(), pa.bool_(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["span", "apart", "entries"]
+            )
+
+    pairs = spans.select("span", "apart").distinct().join(spelled, "span").select("span", "apart", "spelled")
+    hits = saved(pairs.mapInArrow(meet, "span string, apart boolean, entries array<string>"), "toxicity-hits")
+    entries = spans.join(hits, ["span", "apart"]).select("text_key", F.explode("entries").alias("entry"))
+    added = saved(entries.groupBy("text_key").agg(F.collect_set("entry").alias("entries")), "toxicity-added")
+    return lexicon, bias, added
 
 
 def scored(
@@ -309,20 +470,21 @@ def scored(
     ``learned`` is a condition on ``labels.doc_id``: the rows that may be learned from.
     """
     rows = texts(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels, learned, per_label))  # of bounded size
+    lexicon, bias, added = fitted(rows, labels, learned, per_label)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, bias))  # of bounded size
+    joined = rows.withColumn("text_key", text_key(F.col("text"))).join(added, "text_key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lexicon, bias = shared.value
-        restore = Restorer(model)
+        lexicon, bias = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 cut = batch.slice(at, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column(0), *score_batch(cut.column(1), lexicon, bias, restore)],
+                    [cut.column(0), *score_batch(cut.column(1), cut.column(2), lexicon, bias)],
                     names=["doc_id", "score", "evidence"],
                 )
 
-    return rows.mapInArrow(run, SCHEMA)
+    return joined.select("doc_id", "text", "entries").mapInArrow(run, SCHEMA)
 
 
 def keep_clean(
@@ -336,45 +498,41 @@ def keep_clean(
 ) -> DataFrame:
     """The rows that score below ``threshold``, with all their columns."""
     rows = texts(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels, learned, per_label))
+    lexicon, bias, added = fitted(rows, labels, learned, per_label)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, bias))  # of bounded size
+    ready_workers(docs)
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    names = ["_toxicity_key", "_toxicity_entries"]
+    joined = docs.withColumn(names[0], text_key(own)).join(added.toDF(*names), names[0], "left")
+    width, at = len(docs.columns), docs.columns.index(text_col)
 
-    def judge():
-        model, lexicon, bias = shared.value
-        restore = Restorer(model)
-        return lambda column: score_batch(column, lexicon, bias, restore)[0].to_numpy() < threshold
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, bias = shared.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                cut = batch.slice(first, 500)
+                column = pc.fill_null(pc.cast(cut.column(at), pa.string()), "")
+                stay = score_batch(column, cut.column(width), lexicon, bias)[0].to_numpy() < threshold
+                yield cut.select(range(width)).filter(pa.array(stay, pa.bool_()))
 
-    return filtered(docs, text_col, judge)
+    return joined.select(*docs.columns, names[1]).mapInArrow(run, docs.schema)
 
 
-def score_batch(column: pa.Array, lexicon: dict[str, float], bias: float, restore: Restorer) -> list[pa.Array]:
-    """Scores and evidence of a batch; words are judged once per batch."""
-    lower = pc.utf8_lower(column)
-    words = pc.split_pattern_regex(lower, r"[\pZ\s]+")
+def score_batch(column: pa.Array, added: pa.Array, lexicon: dict[str, float], bias: float) -> list[pa.Array]:
+    """Scores and evidence of a batch, ``added`` from restored words; words are judged once per batch."""
+    words = pc.split_pattern_regex(pc.utf8_lower(column), r"[\pZ\s]+")
     coded = pc.dictionary_encode(words.flatten())
-    spelled = coded.dictionary
-    disguised = pc.match_substring_regex(spelled, DISGUISED_RE2).to_numpy(zero_copy_only=False)
     found: dict[int, list[tuple[str, float]]] = {}
-    for i, w in enumerate(spelled.to_pylist()):
-        hits = [h for p in WORD.findall(w) for h in strength(p, lexicon)]
-        if disguised[i] or DISGUISED.search(w):
-            seen = trimmed(w)
-            if DISGUISED.search(seen):
-                hits += strength(restore(seen), lexicon)
-        if hits:
+    for i, w in enumerate(coded.dictionary.to_pylist()):
+        if hits := [h for p in WORD.findall(w) for h in strength(p, lexicon)]:
             found[i] = hits
-    evidence: list[dict[str, float]] = [{} for _ in range(len(column))]
+    evidence: list[dict[str, float]] = [{k: lexicon[k] for k in keys or ()} for keys in added.to_pylist()]
     if found:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         spots = np.flatnonzero(np.isin(codes, np.fromiter(found, np.int64)))
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         for row, spot in zip(np.searchsorted(offsets, spots, side="right") - 1, spots, strict=True):
             evidence[row].update(found[int(codes[spot])])
-    for row in np.flatnonzero(pc.match_substring_regex(lower, SPELLED_APART_RE2).to_numpy(zero_copy_only=False)):
-        for m in SPELLED_APART.finditer(str(lower[int(row)])):
-            back = restore(m.group())
-            # letters spelled apart may run into each other: look for entries at every start
-            for i in range(len(back)):
-                evidence[row].update(strength(back[i:], lexicon))
     known = bias > -math.inf  # else nothing was learned
     totals = [1 / (1 + math.exp(min(700.0, -bias - sum(e.values())))) if known else 0.0 for e in evidence]
     shown = [sorted(k.removesuffix(EDGE) for k in e) for e in evidence]
