@@ -3,8 +3,8 @@
 1. One pass over all texts counts every character trigram (distinct words of each
    batch with their counts, summed by Spark) and writes the disguised spans of
    each text, keyed by the MD5 of the text. Neither table is cut or collected.
-2. Disguised spans are found: words with signs or digits inside or with long runs
-   of one letter, and letters spelled apart. The channel lets an observed
+2. Disguised spans are found: words with a sign or digit beside a letter, words of
+   signs, words with a doubled letter, and three or more characters spelled apart. The channel lets an observed
    sign stand for several letters, a run shrink to one or two letters and
    separators vanish; Viterbi search through that lattice under the trigram
    model restores the likeliest spelling, once per distinct span. The trigrams
@@ -13,8 +13,9 @@
 3. A lexicon of words and word beginnings is learned from a bounded sample of
    labelled texts by a sparse logistic regression.
 4. The score of a text is the probability that this regression gives to the
-   lexicon entries among its words and restored words; the latter reach it by a
-   join of texts and spans.
+   lexicon entries among its words, restored words and neighbouring fragments
+   read as one word; restored words reach it by a join of texts and spans. What a
+   doubled letter restores counts only where the word itself meets no entry.
 
 Null and empty texts hold no evidence and get the base score. With nothing to
 learn from every score is 0. Rows are scored alone: repeated rows, hot sources
@@ -58,12 +59,13 @@ SEPARATORS = " .-_*'"
 SIGN_COST, RUN_COST, GAP_COST = 0.3, 0.2, 0.1
 WORD = re.compile(r"[^\W\d_]+")
 SIGNS = "".join(re.escape(c) for c in LEET)
-# A letter, then signs or digits before another letter; or a sign that opens a word of letters.
-DISGUISED = re.compile(rf"(?:[^\W\d_][{SIGNS}]+[^\W\d_]|^[{SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[{SIGNS}]$|([^\W\d_])\1\1)")
-# For Arrow's RE2, which has no back references: the same without runs, which are found by comparing letters.
-SPELLED_APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{SIGNS}])){{3,}}(?![^\W_])")
-SPELLED_APART_RE2 = rf"(?:^|[^\pL\pN])(?:[\pL\pN]|[{SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:\pL|[{SIGNS}])){{3,}}"
-DISGUISED_RE2 = rf"\pL[{SIGNS}]+\pL|^[{SIGNS}]\pL\pL|\pL\pL[{SIGNS}]$"
+OTHER_SIGNS = "".join(re.escape(c) for c in LEET if not c.isalnum())
+# A sign or digit beside a letter, signs alone (one of them no digit), or a doubled letter.
+DISGUISED = re.compile(rf"(?:[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|^(?=.*[{OTHER_SIGNS}])[{SIGNS}]{{3,}}$|([^\W\d_])\1)")
+# For Arrow's RE2, which has no back references: the same without doubled letters, which are found by comparing letters.
+SPELLED_APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{SIGNS}])){{2,}}(?![^\W_])")
+SPELLED_APART_RE2 = rf"(?:^|[^\pL\pN])(?:[\pL\pN]|[{SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:\pL|[{SIGNS}])){{2,}}"
+DISGUISED_RE2 = rf"\pL[{SIGNS}]|[{SIGNS}]\pL|[{SIGNS}]{{3}}"
 EDGE = "\x02"
 
 
@@ -388,6 +390,16 @@ def strength(word: str, lexicon: dict[str, float]) -> list[tuple[str, float]]:
     return [(key, lexicon[key]) for key in keys_of(word) if key in lexicon]
 
 
+def part_heads(lexicon: dict[str, float]) -> set[str]:
+    """Proper beginnings of the entries: what the first of two fragments of a word may be."""
+    return {k[:n] for k in (e.removesuffix(EDGE) for e in lexicon) for n in range(1, len(k))}
+
+
+def joined_hits(first: str, second: str, lexicon: dict[str, float]) -> list[tuple[str, float]]:
+    """Entries that two neighbouring fragments meet as one word and that reach into the second."""
+    return [(k, v) for k, v in strength(first + second, lexicon) if len(k.removesuffix(EDGE)) > len(first)]
+
+
 # --- the operator ----------------------------------------------------------------------------
 
 
@@ -441,6 +453,8 @@ def fitted(rows: DataFrame, labels: DataFrame, learned: Column, per_label: int)
             for span, apart, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # letters spelled apart may run into each other: look for entries at every start
                 starts = range(len(word)) if apart else (0,)
+                if not apart and any(strength(p, shared.value) for p in WORD.findall(span)):
+                    continue  # scored as it is written
                 entries = sorted({k for i in starts for k, _ in strength(word[i:], shared.value)})
                 if entries:
                     found.append((span, apart, entries))
@@ -523,9 +537,19 @@ def score_batch(column: pa.Array, added: pa.Array, lexicon: dict[str, float], bi
     words = pc.split_pattern_regex(pc.utf8_lower(column), r"[\pZ\s]+")
     coded = pc.dictionary_encode(words.flatten())
     found: dict[int, list[tuple[str, float]]] = {}
+    heads, ends, starts = part_heads(lexicon), {}, {}
     for i, w in enumerate(coded.dictionary.to_pylist()):
-        if hits := [h for p in WORD.findall(w) for h in strength(p, lexicon)]:
+        parts = WORD.findall(w)
+        hits = [h for p in parts for h in strength(p, lexicon)]
+        for a, b in zip(parts, parts[1:]):
+            if a in heads:
+                hits += joined_hits(a, b, lexicon)
+        if hits:
             found[i] = hits
+        if parts:
+            starts[i] = parts[0]
+            if parts[-1] in heads:
+                ends[i] = parts[-1]
     evidence: list[dict[str, float]] = [{k: lexicon[k] for k in keys or ()} for keys in added.to_pylist()]
     if found:
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -533,6 +557,21 @@ def score_batch(column: pa.Array, added: pa.Array, lexicon: dict[str, float], bi
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         for row, spot in zip(np.searchsorted(offsets, spots, side="right") - 1, spots, strict=True):
             evidence[row].update(found[int(codes[spot])])
+    if ends:
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        flagged = np.zeros(len(coded.dictionary), bool)
+        flagged[list(ends)] = True
+        inner = np.ones(len(codes), bool)
+        inner[offsets[1:][offsets[1:] > 0] - 1] = False  # the last word of a text has no neighbour
+        spots = np.flatnonzero(flagged[codes] & inner)
+        met: dict[tuple[int, int], list] = {}
+        for spot in spots:
+            pair = int(codes[spot]), int(codes[spot + 1])
+            if pair not in met:
+                met[pair] = joined_hits(ends[pair[0]], starts[pair[1]], lexicon) if pair[1] in starts else []
+            if met[pair]:
+                evidence[np.searchsorted(offsets, spot, side="right") - 1].update(met[pair])
     known = bias > -math.inf  # else nothing was learned
     totals = [1 / (1 + math.exp(min(700.0, -bias - sum(e.values())))) if known else 0.0 for e in evidence]
     shown = [sorted(k.removesuffix(EDGE) for k in e) for e in evidence]

@@ -48,3 +48,17 @@ def test_restored_words_reach_repeated_texts_and_keep_rows(spark):
     kept = toxicity.keep_clean(both, labels, F.lit(True))
     assert kept.columns == both.columns and kept.where("doc_id = 901").count() == 1
     assert kept.where("doc_id = 900 OR doc_id IS NULL").count() == 0
+
+
+def test_every_kind_of_disguise_scores_high(spark):
+    docs, labels = labelled(spark)
+    toxic = [(200 + i, f"some words {w} stand here number {i}") for i, w in enumerate(["stupid", "ass", "asshole"] * 14)]
+    docs = docs.unionByName(spark.createDataFrame(toxic, docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(i, 1) for i, _ in toxic], labels.schema))
+    planted = ["a$$", "a55", "@$$", "@$$hole", "stuupid", "a s s", "stu pid", "id-iot", "mo. ron", "lo\nser"]
+    plain = ["hello letter 3rd of 1990s", "$500 or a b c", "the pid stu of iot id", None]
+    new = [(900 + i, w and f"some words {w} stand here") for i, w in enumerate(planted + plain)]
+    both = docs.unionByName(spark.createDataFrame(new, docs.schema))
+    got = {r.doc_id: r.score for r in toxicity.scored(both, labels, F.lit(True)).collect()}
+    assert {w for i, w in enumerate(planted) if got[900 + i] < toxicity.THRESHOLD} == set()
+    assert {w for i, w in enumerate(plain, len(planted)) if got[900 + i] >= toxicity.THRESHOLD} == set()
