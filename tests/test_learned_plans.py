@@ -1,0 +1,27 @@
+"""The registered text-judge queries fit in the operator's own term space."""
+
+import inspect
+
+import pytest
+
+from assay.operators import learned as T
+from assay.plans import load_entries
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["text_judge_predictions", "ablation_study"])
+def test_query_fits_with_the_default_feature_count(spark, sf, monkeypatch, name):
+    signature = inspect.signature(T.fit_text_judge)
+
+    def stop(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Seen(bound.arguments["features"])
+
+    monkeypatch.setattr(T, "fit_text_judge", stop)
+    with pytest.raises(Seen) as seen:
+        load_entries()[name].run(spark, sf)
+    assert seen.value.args == (T.FEATURES,)
