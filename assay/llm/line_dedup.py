@@ -8,8 +8,8 @@ merge-joined against the runs so far to tell new keys from known ones, and
 stored at level 0; a level that holds ``fan`` runs is compacted to one run of
 the next level. Keys travel as the first 128 bits of SHA-256, never as text.
 
-Nulls and ties: a null text is one empty line. Every row counts as a document;
-a row without an id counts too but is never the largest and loses no line. Rows
+Nulls and ties: a null text is one empty line. Documents are distinct ids: rows
+that repeat an id count once, a row without an id does not count and loses no line. Rows
 that repeat the largest id all keep their lines. Lines whose keys are shorter
 than ``min_points`` code points always stay.
 """
@@ -47,7 +47,7 @@ def long_line_keys(docs: DataFrame, min_points: int) -> DataFrame:
 
 
 class LineRuns:
-    """Runs by level; ``add`` takes (doc_id, key) rows, each document's keys once."""
+    """Runs by level; ``add`` takes (doc_id, key) rows, all rows of a document in one batch."""
 
     def __init__(self, spark: SparkSession, fan: int = FAN):
         self.spark, self.fan = spark, fan
@@ -70,7 +70,7 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Store the batch as a run; returns the keys that no earlier run holds."""
-        run = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
+        run = batch.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_id"))
         if self.runs():
             known = reduce(DataFrame.unionByName, self.runs()).select("key")
             fresh = run.join(known, "key", "left_anti").withColumn("fresh", F.lit(True))
