@@ -15,6 +15,7 @@ from assay.llm import (
     language_id,
     licenses,
     line_dedup,
+    line_quality,
     ngram_join,
     packing,
     pieces,
@@ -164,6 +165,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+@query()
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return line_quality.judged(docs, labels).drop("line_labels")
+
+
 def vector_digests(rows: DataFrame) -> DataFrame:
     """vec_id, code, error, label_error, codebooks_sha256 of every coded row."""
     coded = vector_codes.fitted(rows)
