@@ -9,9 +9,9 @@ stand in content lines.
 
 Only texts are labelled, so training starts from the label of the text for each of its
 lines and then, ``RELABELLED`` times, decodes the lines of bad texts and fits again: a
-clean line inside a bad text is content. Learned from: up to ``per_label`` texts of
-either label with the smallest id hashes and no more than ``LONGEST`` lines; scored:
-every whole text. The driver sees one integer a line of the sample.
+clean line inside a bad text is content. Learned from: the texts of up to ``per_label``
+ids of either label with the smallest hashes, but for those of more than ``LONGEST``
+lines; scored: every whole text. The driver sees one integer a line of the sample.
 
 Null and empty texts have no words, no content share and are not kept by the rules.
 With nothing to learn from, every line is content. Texts are judged alone, so repeated
@@ -38,7 +38,7 @@ PER_LABEL = 600
 LONGEST = 500
 RELABELLED = 2
 STEPS = 120
-PENALTY = 0.05
+PENALTY = 0.001
 LEAST_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -213,15 +213,18 @@ def gradient(field: Field, sample: Sample, x: np.ndarray, labels: np.ndarray, we
     return likely, x.T @ (share * (labels - chance)), g_steps
 
 
-def maximised(sample: Sample, x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Field:
-    """Penalised maximum likelihood by Adam steps of falling size; sequences weigh ``weight``."""
+def maximised(sample: Sample, x: np.ndarray, labels: np.ndarray, weight: np.ndarray, chained: bool = True) -> Field:
+    """Penalised maximum likelihood by Adam steps of falling size; sequences weigh ``weight``.
+
+    Without ``chained`` steps from label to label stay at 0: lines are taken apart.
+    """
     field = Field(np.zeros(TRAITS), np.zeros((2, 2)))
     at = np.zeros(TRAITS + 4)
     mean, square = np.zeros_like(at), np.zeros_like(at)
     scale = 1 / max(1e-9, float(weight.sum()))
     for step in range(1, STEPS + 1):
         _, g, g_steps = gradient(field, sample, x, labels, weight)
-        slope = scale * np.concatenate([g, g_steps.ravel()]) - PENALTY * scale * at
+        slope = scale * np.concatenate([g, g_steps.ravel() * chained]) - PENALTY * scale * at
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         at = at + 0.3 * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -240,7 +243,8 @@ def learn(rows: list[tuple[np.ndarray, int]]) -> Field:
     # either label weighs the same, and a long text no more than a short one
     weight = np.array([1 / (counts[truth[i]] * len(sequences[i])) for i in sample.order])
     labels = [np.full(len(t), y, np.int64) for t, y in rows]
-    field = maximised(sample, x, sample.laid(labels), weight)
+    # labels of whole texts never change from line to line: steps learned from them would hide every clean line
+    field = maximised(sample, x, sample.laid(labels), weight, chained=False)
     for _ in range(RELABELLED):
         for i, (traits, y) in enumerate(rows):
             if y == 0 and (found := field.decoded(field.scores(traits))).min() == BOILERPLATE:
@@ -296,13 +300,12 @@ def fitted(docs: DataFrame, labels: DataFrame, learned: Column, quality_col: str
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
         .agg(F.min((F.col(quality_col) == 1).cast("int")).alias("quality"))
     )
-    lines = F.octet_length(F.regexp_replace("text", r"[^\n]", "")) + 1
-    short = docs.join(usable, F.col("doc_id") == F.col("_id")).where(lines <= LONGEST)
     ids = []
     for label in (0, 1):
-        own = short.where(F.col("quality") == label).select("_id").distinct()
-        ids += collect_bounded(own.orderBy(F.xxhash64("_id"), "_id").limit(per_label), per_label, "the quality sample")
-    chosen = docs.sparkSession.createDataFrame([(r["_id"],) for r in ids], "_chosen long")  # at most 2 * per_label rows
+        own = usable.where(F.col("quality") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
+        ids += collect_bounded(own, per_label, "the quality sample")
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "_id long, quality int")  # at most 2 * per_label rows
+    lines = F.octet_length(F.regexp_replace("text", r"[^\n]", "")) + 1
 
     def traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +315,8 @@ def fitted(docs: DataFrame, labels: DataFrame, learned: Column, quality_col: str
             )
 
     rows = (
-        short.join(F.broadcast(chosen), F.col("_id") == F.col("_chosen"))
+        docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        .where(lines <= LONGEST)
         .select("doc_id", "text", "quality")
         .mapInArrow(traits, "doc_id long, traits array<long>, quality int")
         .groupBy("doc_id")
