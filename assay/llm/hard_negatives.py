@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from assay.llm.common import ready_workers, saved
 
 BLOCK_ROWS = 4096
-SPAN_ROWS = 65536
+SPAN_ROWS = 16384
 CHUNK_ANCHORS = 16384
 ANCHOR_BATCH = 256
 EXACT_FLOAT32 = 1 << 24
