@@ -49,22 +49,40 @@ def _log_vector(probabilities: Column, classes: Column) -> Column:
     return F.transform(class_vector(probabilities, classes), lambda p: F.log(F.greatest(p, floor)))
 
 
-def _with_moments(rows: DataFrame) -> DataFrame:
-    """Loss, slope and curvature of -log softmax(s * logs)[gold] in ``s``, the inverse temperature."""
-    top = F.array_max("_logs")
-    weights = F.transform("_logs", lambda v: F.exp((v - F.array_max("_logs")) * F.col("_s")))
+def _moments() -> list[dict[str, Column]]:
+    """Loss, slope and curvature of -log softmax(s * logs)[gold] in ``s``, the inverse temperature, in three steps.
+
+    Built once per fit: making the expressions anew for every pass costs more than a pass.
+    """
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v)
-    first = F.zip_with("_w", "_logs", lambda w, v: w * v)
-    second = F.zip_with("_w", "_logs", lambda w, v: w * v * v)
-    out = rows.withColumn("_w", weights).withColumn("_m", add("_w"))
-    out = out.withColumn("_e1", add(first) / F.col("_m")).withColumn("_e2", add(second) / F.col("_m"))
-    return out.withColumns(
+    top, mass, e1 = F.array_max("_logs"), F.col("_m"), F.col("_e1")
+    return [
+        {"_w": F.transform("_logs", lambda v: F.exp((v - F.array_max("_logs")) * F.col("_s")))},
+        {"_m": add(F.col("_w"))},
         {
-            "_loss": F.log("_m") + (top - F.col("_gold")) * F.col("_s"),
-            "_slope": F.col("_e1") - F.col("_gold"),
-            "_curve": F.col("_e2") - F.col("_e1") * F.col("_e1"),
-        }
-    )
+            "_e1": add(F.zip_with("_w", "_logs", lambda w, v: w * v)) / mass,
+            "_e2": add(F.zip_with("_w", "_logs", lambda w, v: w * v * v)) / mass,
+        },
+        {
+            "_loss": F.log(mass) + (top - F.col("_gold")) * F.col("_s"),
+            "_slope": e1 - F.col("_gold"),
+            "_curve": F.col("_e2") - e1 * e1,
+        },
+    ]
+
+
+def _newton(keys: Sequence[str]) -> list[dict[str, Column] | list[Column | str]]:
+    """The bracket, the next place and the new parameters of a pass, built once per fit."""
+    s, slope, curve, lo, hi = (F.col(c) for c in ("_s", "_slope", "_curve", "_lo", "_hi"))
+    newton = s - F.try_divide(slope, curve)
+    inside = F.coalesce((curve > 0) & (newton > lo) & (newton < hi), F.lit(False))
+    past = (slope <= 0) & F.coalesce(newton >= hi, F.lit(True))  # towards the end of the range
+    near = F.abs(F.log(F.col("_next") / s)) < TOLERANCE
+    return [
+        {"_lo": F.coalesce(F.when(slope <= 0, s).otherwise(lo), lo), "_hi": F.coalesce(F.when(slope > 0, s).otherwise(hi), hi)},
+        {"_next": F.when(inside, newton).when(past, hi).otherwise(F.sqrt(lo * hi))},
+        [*keys, F.when(F.col("_done"), s).otherwise(F.col("_next")).alias("_s"), "_lo", "_hi", (F.col("_done") | near).alias("_done")],
+    ]
 
 
 def fit_temperature(df: DataFrame, by: Sequence[str], classes: Column, checked: bool = True) -> DataFrame:
@@ -89,29 +107,18 @@ def fit_temperature(df: DataFrame, by: Sequence[str], classes: Column, checked:
     ).persist(StorageLevel.MEMORY_AND_DISK)
     low, high = (math.exp(x) for x in LOG_T_RANGE)
 
+    moments, (bracket, onward, result) = _moments(), _newton(keys)
+    means = [F.avg(c).alias(c) for c in ("_loss", "_slope", "_curve")]
+
     def measured(params: DataFrame) -> DataFrame:
-        return _with_moments(rows.join(params, keys)).groupBy(*keys).agg(
-            F.avg("_loss").alias("_loss"), F.avg("_slope").alias("_slope"), F.avg("_curve").alias("_curve")
-        )
+        out = rows.join(params, keys)
+        for columns in moments:
+            out = out.withColumns(columns)
+        return out.groupBy(*keys).agg(*means)
 
     def moved(params: DataFrame) -> DataFrame:
         step = params.join(measured(params.where("not _done").select(*keys, "_s")), keys, "left")
-        lo = F.when(F.col("_slope") <= 0, F.col("_s")).otherwise(F.col("_lo"))
-        hi = F.when(F.col("_slope") > 0, F.col("_s")).otherwise(F.col("_hi"))
-        step = step.withColumn("_lo", F.coalesce(lo, "_lo")).withColumn("_hi", F.coalesce(hi, "_hi"))
-        newton = F.col("_s") - F.try_divide(F.col("_slope"), F.col("_curve"))
-        inside = F.coalesce((F.col("_curve") > 0) & (newton > F.col("_lo")) & (newton < F.col("_hi")), F.lit(False))
-        past = (F.col("_slope") <= 0) & F.coalesce(newton >= F.col("_hi"), F.lit(True))  # towards the end of the range
-        onward = F.when(inside, newton).when(past, F.col("_hi")).otherwise(F.sqrt(F.col("_lo") * F.col("_hi")))
-        step = step.withColumn("_next", onward)
-        near = F.abs(F.log(F.col("_next") / F.col("_s"))) < TOLERANCE
-        return step.select(
-            *keys,
-            F.when(F.col("_done"), F.col("_s")).otherwise(F.col("_next")).alias("_s"),
-            "_lo",
-            "_hi",
-            (F.col("_done") | near).alias("_done"),
-        )
+        return step.withColumns(bracket).withColumns(onward).select(*result)
 
     try:
         start = rows.groupBy(*keys).agg(F.count("*").alias("fit_rows"), F.any_value("_classes").alias("class_order"))

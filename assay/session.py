@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one computation in the shared checkpoint folder, deleted when it ends.
+
+    Unlike a checkpoint a written table keeps column pruning, and it can go as soon as
+    the next one is written. What outlives the computation must be written elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark)}/assay-{what}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.root)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Bring a small table to the driver, failing instead of truncating."""
     rows = df.limit(limit + 1).collect()

@@ -94,7 +94,7 @@ def test_unfitted_mode_is_unavailable(spark):
 def test_text_judge_learns_saves_and_restores(spark, tmp_path):
     rng = random.Random(1)
     train = [(f"{'good fine' if i % 3 else 'bad awful'} word{rng.randrange(9)} it's", "pass" if i % 3 else "fail") for i in range(90)]
-    judge = T.fit_text_judge(spark.createDataFrame(train, "text string, label string"), 1 << 10)
+    judge = T.fit_text_judge(spark.createDataFrame(train, "text string, label string"))
     ask = spark.createDataFrame([("1", "single", "good fine"), ("2", "single", "bad awful"), ("3", "pairwise", "x")], "record_id string, mode string, text string")
     got = {r["record_id"]: r for r in judge.predict(ask).collect()}
     assert (got["1"]["label"], got["2"]["label"], got["3"]["execution_status"]) == ("pass", "fail", "skipped")
