@@ -45,6 +45,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def token_count(c: Column) -> Column:
+    """FN8: how many tokens, without the array of them."""
+    return F.regexp_count(F.lower(c), F.lit("[a-z0-9]+"))
+
+
 def norm_id(c: Column) -> Column:
     """FN9: trimmed upper-case identifier."""
     return F.upper(strip(c))

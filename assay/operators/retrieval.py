@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.identity import hash_unit
-from assay.functions.text import is_echoed, tokens
+from assay.functions.text import is_echoed, token_count, tokens
+from assay.operators.lexical import best_documents
 from assay.operators.metrics import ratio
 from assay.operators.running import row_numbers, top_per_group
 from assay.operators.splits import source_split
@@ -23,7 +24,6 @@ WINDOW, STRIDE = 512, 256
 RECALL_KS = (5, 10, 20, 50)
 MRR_K, ECHO_K = 100, 10
 FAMILY = "patent-ir-graphrag"
-TERM_SALTS = 16
 DEGREE_BUCKETS = ((0, 0, "0"), (1, 1, "1"), (2, 3, "2-3"), (4, 7, "4-7"))
 
 
@@ -211,8 +211,8 @@ def bm25_index(docs: DataFrame) -> DataFrame:
 
 def corpus_size(docs: DataFrame) -> DataFrame:
     """Number of documents and their mean weighted length, one row."""
-    title = F.size(tokens(F.coalesce("title", F.lit(""))))
-    body = F.size(tokens(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))))
+    title = token_count(F.coalesce("title", F.lit("")))
+    body = token_count(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
     length = title * TITLE_WEIGHT + body * BODY_WEIGHT
     return docs.select(F.when(length == 0, 1.0).otherwise(length).alias("l")).agg(
         F.count("*").cast("double").alias("n"), F.avg("l").alias("avg_len")
@@ -229,57 +229,21 @@ def inverse_frequency(postings: DataFrame, n: Column) -> DataFrame:
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATE_LIMIT) -> DataFrame:
     """RET2: exact best ``k`` documents per query. ``queries``: source, text.
 
-    Terms of more than half the documents sit at the idf floor: they match
-    almost every document and add almost nothing. They are left out of the first
-    pass. A query is settled when its k-th score beats all they could add; only
-    documents within that margin are then completed with them. The queries that
-    are not settled are scored over all terms.
+    Postings of the query terms go to document blocks; a block that cannot reach a
+    query's k-th score is skipped (``operators/lexical.py``). Equal scores go to the
+    smaller id.
     """
     postings = bm25_index(docs)
-    size = corpus_size(docs)
-    n, avg_len = size.select("n").scalar(), size.select("avg_len").scalar()
-    words = queries.select("source", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    size = corpus_size(docs).first()
+    if not size["n"]:
+        return top_k(queries.select("source", F.col("source").alias("candidate"), F.lit(0.0).alias("score")), k)
+    words = queries.select("source", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     matched = postings.join(words.select("term").distinct(), "term", "left_semi")
-    matched = cut_lineage(matched)  # postings of the query terms, read by every later step
-    weights = words.join(inverse_frequency(matched, n).select("term", "idf"), "term")
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("_avg")))
-    matched = matched.withColumn("_avg", avg_len).select("doc", "term", impact.alias("impact"))
-
-    def score(some: DataFrame) -> DataFrame:
-        # a frequent term is cut into slices of documents, so no task holds all of it
-        salted = some.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        return (
-            matched.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(TERM_SALTS)).cast("int"))
-            .join(salted, ["term", "_salt"])
-            .groupBy("source", "doc")
-            .agg(F.sum(F.col("idf") * F.col("impact")).alias("score"))
-        )
-
-    common = F.col("idf") <= IDF_FLOOR
-    rare = score(weights.filter(~common)).filter(F.col("doc").cast("string") != F.col("source").cast("string"))
-    slack = weights.groupBy("source").agg(F.sum(F.when(common, F.col("idf") * (K1 + 1)).otherwise(0.0)).alias("_slack"))
-    best = top_per_group(rare, ["source"], [F.col("score").desc(), F.col("doc").asc()], k)
-    kth = best.groupBy("source").agg(F.min("score").alias("_kth"), F.count("*").alias("_have"))
-    state = slack.join(kth, "source", "left").select(
-        "source",
-        "_slack",
-        "_kth",
-        F.coalesce((F.col("_have") >= k) & (F.col("_kth") > F.col("_slack")), F.lit(False)).alias("_settled"),
-    )
-    settled = state.filter("_settled")
-    near = rare.join(settled, "source").filter(F.col("score") + F.col("_slack") >= F.col("_kth")).select("source", "doc", "score")
-    extra = (
-        near.select("source", "doc")
-        .join(weights.filter(common), "source")
-        .join(matched, ["doc", "term"])
-        .groupBy("source", "doc")
-        .agg(F.sum(F.col("idf") * F.col("impact")).alias("_more"))
-    )
-    done = near.join(extra, ["source", "doc"], "left").select(
-        "source", "doc", (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score")
-    )
-    open_ = score(weights.join(state.filter("NOT _settled").select("source"), "source", "left_semi"))
-    return top_k(done.unionByName(open_).withColumnRenamed("doc", "candidate"), k)
+    matched = cut_lineage(matched)  # postings of the query terms, read by the weights and the blocks
+    weights = words.join(inverse_frequency(matched, F.lit(size["n"])).select("term", "idf"), "term")
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(size["avg_len"])))
+    found = best_documents(matched.select("doc", "term", impact.alias("impact")), weights, int(size["n"]), k)
+    return top_k(found, k)
 
 
 def token_windows(df: DataFrame, key: str, words: Column, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:

@@ -7,9 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from assay.operators import lexical
 from assay.operators import retrieval as R
 from assay.operators import vectors as V
 
@@ -156,6 +158,62 @@ def test_bm25_against_brute_force(spark, k):
         assert {x[1] for x in found[q][:-1]} <= {x[1] for x in want} | {x[1] for x in found[q][-1:]}
 
 
+def lexical_case(n=400, seed=11):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda m: " ".join(["the"] + [words[min(int(rng.expovariate(0.03)), 199)] for _ in range(m)])
+    docs = [(i, "", text(rng.randint(1, 30))) for i in range(n)]
+    docs += [(n + i, "", docs[i % 3][2]) for i in range(n // 2)]  # many equal documents
+    return docs, [(i, docs[i][2]) for i in range(0, 40, 4)] + [(-1, text(3)), (-2, "absent")]
+
+
+def test_lexical_blocks_and_spans_change_nothing(spark):
+    """Integer ids, exact ties at the cut, a query that is a document, many small blocks."""
+    docs, queries = lexical_case()
+    dd = spark.createDataFrame(docs, "doc long, title string, text string")
+    qq = spark.createDataFrame(queries, "source long, text string")
+    postings = R.bm25_index(dd).withColumn("impact", F.col("tf") / (F.col("tf") + F.col("doc_len")))
+    words = qq.select("source", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
+    weights = words.join(R.inverse_frequency(postings, F.lit(len(docs))).select("term", "idf"), "term")
+    impact = {(r["doc"], r["term"]): r["impact"] for r in postings.collect()}
+    scores = defaultdict(float)
+    for r in weights.collect():
+        for d, *_ in docs:
+            if (d, r["term"]) in impact and d != r["source"]:
+                scores[r["source"], d] += r["idf"] * impact[d, r["term"]]
+    for span, block in ((10_000, 10_000), (100, 10), (60, 60)):
+        found = R.best_documents(postings.select("doc", "term", "impact"), weights, len(docs), 7, span, block)
+        got = defaultdict(list)
+        for r in R.top_k(found, 7).orderBy("source", "rank").collect():
+            got[r["source"]].append((r["candidate"], r["score"]))
+        assert -2 not in got
+        for q, _ in queries[:-1]:
+            want = sorted(((-round(s, 9), d) for (a, d), s in scores.items() if a == q and s > 0))[:7]
+            assert [c for c, _ in got[q]] == [d for _, d in want], (span, q)
+            assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in want], abs=1e-8)
+
+
+def test_lexical_blocks_are_skipped():
+    """A block whose bound stays below the k-th score is not added up."""
+    queries = pa.table({"source": ["q", "q"], "term": ["a", "b"], "idf": [1.0, 2.0]})
+    chunk = lexical.Chunk(queries, 2)
+    block = lambda docs, impacts: pa.table({"doc": docs, "term": ["a"] * len(docs), "impact": impacts})
+    chunk.take(block(["d1", "d2", "d3"], [0.9, 0.8, 0.1]))
+    chunk.take(block(["e1", "e2"], [0.7, 0.2]))
+    assert chunk.skipped == 1 and [d for _, d in chunk.best[0]] == ["d1", "d2"]
+    chunk.take(block(["c9"], [0.8]))  # ties with the k-th: the smaller id wins
+    assert chunk.skipped == 1 and [d for _, d in chunk.best[0]] == ["d1", "c9"]
+
+
+def test_lexical_search_shuffles_no_pairs(spark):
+    docs, queries = lexical_case(60)
+    got = R.bm25_search(
+        spark.createDataFrame(docs, "doc long, title string, text string"), spark.createDataFrame(queries, "source long, text string"), 5
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(source[^)]*, doc", plan)
+
+
 @pytest.mark.parametrize("k,cells", [(3, 8), (50, 4), (5, 1)])
 def test_vector_search_against_brute_force(spark, k, cells):
     rng = np.random.default_rng(k)
