@@ -1,43 +1,53 @@
-"""Exact nearest-neighbour search over vector windows.
-
-Candidates are cut into cells around a few pivots, and big cells into blocks of
-bounded size. Each (block, query chunk) is one matrix product in one task that
-returns its best ``k`` owners per query, never all pairs. A first pass over the
-home cell gives every query a score to beat; the triangle inequality on angles
-then tells which other cells can still hold a better one. Nothing else is
-skipped, so the result is exact.
+"""Exact nearest-neighbour search over vector windows, on a two-level index.
+
+Rows belong to the cell of their nearest pivot, and inside a cell to shells: blocks of
+bounded size along the angle to the pivot. The number of cells follows the square root
+of the number of blocks, so there is no limit to either. For a query both levels bound
+what they can hold: a cell by the largest angle in it, a shell by its smallest and
+largest one (triangle inequality on angles). A first pass over the query's own shell
+gives it a score to beat; the second pass visits every shell that may hold a better
+one. A task holds one shell and lets its visitors stream past, so rows of the index are
+shuffled once per pass and never copied, however many queries there are. Nothing else
+is skipped: the result is exact.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.identity import hash_rank
-from assay.operators.running import top_per_group
+from assay.operators.running import row_numbers, top_per_group
 from assay.session import collect_bounded, cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_CELLS = 256
 BLOCK_ROWS = 4096
+LEAST_BLOCK_ROWS = 256
+VISIT_ROWS = 4096
 SLACK = 1e-6
 
 
-def _unit_rows(column: pd.Series) -> np.ndarray:
-    m = np.array(column.tolist(), dtype=np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms == 0, 1.0, norms)
 
 
+def _unit_rows(column: pd.Series) -> np.ndarray:
+    return _unit(np.array(column.tolist(), dtype=np.float64))
+
+
 def _assign(windows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the angle to every pivot-independent row."""
+    """Add the nearest pivot and the angle to it."""
 
     def near(batches):
         for pdf in batches:
@@ -49,106 +59,144 @@ def _assign(windows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return windows.select("owner", F.col("window_index").cast("int"), F.col("vec").cast("array<float>")).mapInPandas(near, schema)
 
 
-def _best_owners(k: int):
-    """Best ``k`` candidate owners of every query owner inside one block."""
-
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        q = q.rename(columns={"q_owner": "owner", "q_vec": "vec"})
-        c = c.rename(columns={"c_owner": "owner", "c_vec": "vec"})
-        empty = pd.DataFrame({"source": q["owner"][:0], "candidate": q["owner"][:0], "score": np.zeros(0)})
-        if not len(q) or not len(c):
-            return empty
-        q, c = q.sort_values("owner", kind="stable"), c.sort_values("owner", kind="stable")
-        sims = _unit_rows(q["vec"]) @ _unit_rows(c["vec"]).T
-        cand, c_at = np.unique(c["owner"].to_numpy(), return_index=True)
-        sims = np.maximum.reduceat(sims, c_at, axis=1)
-        src, q_at = np.unique(q["owner"].to_numpy(), return_index=True)
-        sims = np.maximum.reduceat(sims, q_at, axis=0)
-        parts = []
-        for i, owner in enumerate(src):
-            row = np.where(cand == owner, -np.inf, sims[i])
-            keep = row > 0
-            if keep.sum() > k:
-                keep &= row >= np.partition(row, len(row) - k)[len(row) - k]
-            spot = np.flatnonzero(keep)
-            spot = spot[np.lexsort((cand[spot], -row[spot]))][:k]
-            parts.append(pd.DataFrame({"source": owner, "candidate": cand[spot], "score": row[spot]}))
-        return pd.concat([empty, *parts]) if parts else empty
-
-    return run
-
-
-def _search(visits: DataFrame, blocks: DataFrame, subs: dict[int, int], k: int) -> DataFrame:
-    """Run every (block, query chunk) task. ``visits``: owner, window_index, vec, cell."""
-    counts = collect_bounded(visits.groupBy("cell").agg(F.count("*").alias("n")), MAX_CELLS, "the visited cells")
-    chunks = {r["cell"]: math.ceil(r["n"] / BLOCK_ROWS) for r in counts}
-
-    def table(d: dict[int, int]):
-        pairs = [F.lit(int(x)) for item in d.items() for x in item] or [F.lit(-1), F.lit(1)]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
-
-    key = F.xxhash64("owner", "window_index")
-    q = visits.withColumn("chunk", F.pmod(key, table(chunks)).cast("int")).withColumn(
-        "sub", F.explode(F.sequence(F.lit(0), table(subs) - 1))
-    )
-    c = blocks.filter(F.col("cell").isin(*chunks)) if chunks else blocks.limit(0)
-    c = c.withColumn("sub", F.pmod(key, table(subs)).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), table(chunks) - 1))
-    )
-    keys = ["cell", "sub", "chunk"]
-    kind = visits.schema["owner"].dataType.simpleString()
-    cols = ["owner", "vec", *keys]
-    left = q.select(*[F.col(x).alias(f"q_{x}") for x in cols]).groupBy(*[f"q_{x}" for x in keys])
-    right = c.select(*[F.col(x).alias(f"c_{x}") for x in cols]).groupBy(*[f"c_{x}" for x in keys])
-    return left.cogroup(right).applyInPandas(
-        _best_owners(k), f"source {kind}, candidate {kind}, score double"
+def indexed(windows: DataFrame, cells: int | None = None, block_rows: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rows with cell, angle and shell; the shells (cell, shell, low, high); the pivots (on the driver: ``cells`` rows)."""
+    n = windows.count()
+    if block_rows is None:
+        # blocks for all tasks that run at once, while they are worth it
+        tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        block_rows = min(BLOCK_ROWS, max(LEAST_BLOCK_ROWS, math.ceil(n / tasks)))
+    cells = cells or max(1, math.ceil(math.sqrt(n / block_rows)))
+    pick = windows.orderBy(hash_rank("pivot", F.col("owner"), F.col("window_index"))).limit(cells)
+    pivots = _unit(np.array([r["vec"] for r in collect_bounded(pick, cells, "the pivots")], dtype=np.float64).reshape(-1, _width(windows)))
+    placed = cut_lineage(_assign(windows, pivots)) if len(pivots) else _assign(windows, np.zeros((1, 1)))
+    spots = row_numbers(placed.select("owner", "window_index", "cell", "angle"), ["cell"], [F.col("angle"), F.col("owner"), F.col("window_index")], "spot")
+    shells = spots.select("owner", "window_index", "cell", F.floor((F.col("spot") - 1) / block_rows).cast("int").alias("shell"))
+    rows = cut_lineage(placed.join(shells, ["owner", "window_index", "cell"]))
+    bounds = rows.groupBy("cell", "shell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    return rows, cut_lineage(bounds), pivots
+
+
+def _width(windows: DataFrame) -> int:
+    first = windows.select(F.size("vec").alias("d")).first()
+    return first["d"] if first else 1
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1))
+
+
+class Shell:
+    """One block of the index, its rows ordered by owner."""
+
+    def __init__(self, table: pa.Table):
+        owners = table.column("owner").to_numpy()
+        order = np.argsort(owners, kind="stable")
+        self.owners, self.starts = np.unique(owners[order], return_index=True)
+        self.rows = _matrix(table.column("vec").combine_chunks())[order]
+
+    def best(self, visits: pa.RecordBatch, k: int) -> Iterator[tuple[object, object, float]]:
+        """The ``k`` best owners of each visiting window that reach its floor: a window's maximum over theirs."""
+        scores = np.maximum.reduceat(_matrix(visits.column("vec")) @ self.rows.T, self.starts, axis=1)
+        floors = visits.column("floor").to_numpy()
+        for owner, row, floor in zip(visits.column("owner").to_pylist(), scores, floors, strict=True):
+            found = np.flatnonzero((row > 0) & (row >= floor) & (self.owners != owner))
+            if len(found) > k:
+                found = found[row[found] >= np.partition(row[found], -k)[-k]]
+                found = found[np.lexsort((self.owners[found], -row[found]))][:k]
+            for i in found:
+                yield owner, self.owners[i], float(row[i])
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    def pieces() -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "shell", "kind")])
+            cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                for at in range(lo, hi, VISIT_ROWS):
+                    yield tuple(int(x) for x in keys[:, at]), batch.slice(at, min(hi, at + VISIT_ROWS) - at)
+
+    held, shell = None, None
+    for (cell, number, kind), part in groupby(pieces(), key=lambda p: p[0]):
+        if kind == 0:
+            held, shell = (cell, number), Shell(pa.Table.from_batches([b for _, b in part]))
+            continue
+        for _, visits in part:
+            if held != (cell, number):
+                continue
+            found = list(shell.best(visits, k))
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            owner = visits.schema.field("owner").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(columns[0]), owner), pa.array(list(columns[1]), owner), pa.array(list(columns[2]), pa.float64())],
+                names=["source", "candidate", "score"],
+            )
+
+
+def _visited(rows: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """Every visit (owner, vec, floor, cell, shell) against the rows of its shell."""
+    columns = ["cell", "shell", "kind", "owner", "vec", "floor"]
+    held = rows.withColumns({"kind": F.lit(0), "floor": F.lit(0.0)}).select(*columns)
+    asked = visits.withColumn("kind", F.lit(1)).select(*columns)
+    kind = rows.schema["owner"].dataType.simpleString()
+    return (
+        held.unionByName(asked)
+        .repartition(F.col("cell"), F.col("shell"))
+        .sortWithinPartitions("cell", "shell", "kind")
+        .mapInArrow(lambda batches: _searched(batches, k), f"source {kind}, candidate {kind}, score double")
     )
 
 
-def vector_search(windows: DataFrame, queries: DataFrame, k: int = 100, cells: int = 16) -> DataFrame:
+def vector_search(
+    windows: DataFrame, queries: DataFrame, k: int = 100, cells: int | None = None, block_rows: int | None = None
+) -> DataFrame:
     """RET3/JN8: best ``k`` owners per query owner by maximum window cosine; scores <= 0 are dropped.
 
     ``windows``: owner, window_index, vec. ``queries``: owner. The owner itself
     is never a candidate.
     """
-    if not 1 <= cells <= MAX_CELLS:
-        raise ValueError(f"cells must be between 1 and {MAX_CELLS}")
-    pick = windows.orderBy(hash_rank("pivot", F.col("owner"), F.col("window_index"))).limit(cells)
-    pivots = np.array([r["vec"] for r in collect_bounded(pick, cells, "the pivots")], dtype=np.float64)
-    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
-    placed = cut_lineage(_assign(windows, pivots))
-    stats = collect_bounded(
-        placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")), MAX_CELLS, "the cells"
-    )
-    subs = {r["cell"]: math.ceil(r["n"] / BLOCK_ROWS) for r in stats}
-    radius = np.full(len(pivots), -1.0)
-    for r in stats:
-        radius[r["cell"]] = r["r"]
-    asked = placed.join(queries.select("owner").distinct(), "owner", "left_semi")
-
-    home = _search(asked.drop("angle"), placed, subs, k)
+    rows, shells, pivots = indexed(windows, cells, block_rows)
+    asked = rows.join(queries.select("owner").distinct(), "owner", "left_semi")
     order = [F.col("score").desc(), F.col("candidate").asc()]
-    found = home.groupBy("source", "candidate").agg(F.max("score").alias("score"))
-    found = cut_lineage(found)
+
+    home = _visited(rows, asked.withColumn("floor", F.lit(0.0)), k)
+    found = cut_lineage(home.groupBy("source", "candidate").agg(F.max("score").alias("score")))
     best = top_per_group(found, ["source"], order, k)
     floor = best.groupBy(F.col("source").alias("owner")).agg(
         F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("floor")
     )
 
-    def reach(batches):
+    balls = shells.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ball_low, ball_high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)  # of cells without rows
+    for r in collect_bounded(balls, max(1, len(pivots)), "the cells"):
+        ball_low[r["cell"]], ball_high[r["cell"]] = r["low"], r["high"]
+
+    def angles(batches):
+        """Cells within reach: the angle to the pivot, and the largest angle that may still hold a better score."""
         for pdf in batches:
             cos = np.clip(_unit_rows(pdf["vec"]) @ pivots.T, -1.0, 1.0)
-            upper = np.cos(np.maximum(np.arccos(cos) - radius, 0.0)) + SLACK
-            wanted = (upper >= pdf["floor"].to_numpy()[:, None]) & (radius >= 0)
-            wanted[np.arange(len(pdf)), pdf["cell"].to_numpy()] = False
-            rows, cols = np.nonzero(wanted)
-            yield pdf[["owner", "window_index", "vec"]].iloc[rows].assign(cell=cols.astype("int32"))
+            reach = np.arccos(np.clip(pdf["floor"].to_numpy() - SLACK, -1.0, 1.0)) + SLACK
+            at = np.arccos(cos)
+            within = (ball_high >= at - reach[:, None]) & (ball_low <= at + reach[:, None])
+            rows_, cells_ = np.nonzero(within)
+            yield pdf.iloc[rows_].assign(at=at[within], reach=reach[rows_], to=cells_.astype("int32"))
 
     kind = windows.schema["owner"].dataType.simpleString()
-    further = asked.join(floor, "owner", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).mapInPandas(
-        reach, f"owner {kind}, window_index int, vec array<float>, cell int"
+    known = asked.join(floor, "owner", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    inside = (F.col("high") >= F.col("at") - F.col("reach")) & (F.col("low") <= F.col("at") + F.col("reach"))
+    own = (F.col("to") == F.col("cell")) & (F.col("to_shell") == F.col("shell"))
+    further = (
+        known.select("owner", "window_index", "vec", "cell", "shell", "floor")
+        .mapInPandas(
+            angles,
+            f"owner {kind}, window_index int, vec array<float>, cell int, shell int, floor double, at double, reach double, to int",
+        )
+        .join(shells.select(F.col("cell").alias("to"), F.col("shell").alias("to_shell"), "low", "high"), "to")
+        .where(inside & ~own)
+        .select("owner", "vec", "floor", F.col("to").alias("cell"), F.col("to_shell").alias("shell"))
     )
-    further = cut_lineage(further)
-    rest = _search(further, placed, subs, k)
+    rest = _visited(rows, further, k)
     scores = found.unionByName(rest).groupBy("source", "candidate").agg(F.max("score").alias("score"))
     return top_per_group(scores, ["source"], order, k)

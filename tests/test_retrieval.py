@@ -214,8 +214,8 @@ def test_lexical_search_shuffles_no_pairs(spark):
     assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(source[^)]*, doc", plan)
 
 
-@pytest.mark.parametrize("k,cells", [(3, 8), (50, 4), (5, 1)])
-def test_vector_search_against_brute_force(spark, k, cells):
+@pytest.mark.parametrize("k,cells,block", [(3, 8, None), (50, 4, 7), (5, 1, 10), (4, None, 16)])
+def test_vector_search_against_brute_force(spark, k, cells, block):
     rng = np.random.default_rng(k)
     centres = rng.normal(size=(5, 8)) * 3
     rows = []
@@ -226,7 +226,7 @@ def test_vector_search_against_brute_force(spark, k, cells):
     rows.append((900, 0, [0.0] * 8))
     df = spark.createDataFrame(rows, "owner bigint, window_index int, vec array<float>")
     got = defaultdict(list)
-    for r in V.vector_search(df, df.select("owner"), k, cells).orderBy("source", "rank").collect():
+    for r in V.vector_search(df, df.select("owner"), k, cells, block).orderBy("source", "rank").collect():
         got[r["source"]].append((r["candidate"], r["score"]))
     m = np.array([r[2] for r in rows], dtype=np.float64)
     m = m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
@@ -239,6 +239,24 @@ def test_vector_search_against_brute_force(spark, k, cells):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want])
 
 
+def test_vector_index_bounds_hold_and_shells_are_bounded(spark):
+    """No shell is larger than a block, though a third of the rows are one vector; angles lie within the shell's."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, [1.0, 0.5, 0.0, 0.0] if i % 3 == 0 else [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "owner bigint, window_index int, vec array<float>")
+    placed, shells, pivots = V.indexed(df, None, 20)
+    sizes = [r["count"] for r in placed.groupBy("cell", "shell").count().collect()]
+    assert max(sizes) <= 20 and sum(sizes) == 300 and len(pivots) == 4
+    assert placed.join(shells, ["cell", "shell"]).where("angle < low OR angle > high").count() == 0
+
+
+def test_vector_search_of_nothing(spark):
+    none = spark.createDataFrame([], "owner bigint, window_index int, vec array<float>")
+    one = spark.createDataFrame([(1, 0, [1.0, 2.0])], none.schema)
+    assert V.vector_search(none, none.select("owner"), 3).count() == 0
+    assert V.vector_search(one, one.select("owner"), 3).count() == 0
+
+
 @pytest.mark.parametrize("n,want", [(0, [0]), (5, [5]), (10, [10]), (11, [10, 6]), (20, [10, 10, 10]), (21, [10, 10, 10, 6])])
 def test_windows(spark, n, want):
     df = spark.createDataFrame([("d", ["w"] * n)], "doc string, w array<string>")
