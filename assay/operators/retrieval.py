@@ -335,11 +335,26 @@ def arm_delta(metrics: DataFrame, a: str, b: str, names: Sequence[str], by: Sequ
     )
 
 
+def opened(pairs: DataFrame, from_source: DataFrame, from_target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every pair with the steps of its end that has fewer: (source, target, x) from sources and from targets.
+
+    So a hub is only entered against hubs, and at most edges ** 1.5 rows are made.
+    ``from_source``: source, x. ``from_target``: target, x.
+    """
+    known = pairs.join(from_source.groupBy("source").agg(F.count("*").alias("_s")), "source").join(
+        from_target.groupBy("target").agg(F.count("*").alias("_t")), "target"
+    )
+    low = known.where(F.col("_s") <= F.col("_t")).select("source", "target").join(from_source, "source")
+    high = known.where(F.col("_s") > F.col("_t")).select("source", "target").join(from_target, "target")
+    return low.select("source", "target", "x"), high.select("source", "target", "x")
+
+
 def reachability(gold: DataFrame, retained: DataFrame) -> DataFrame:
     """AGG35: share of sources with a gold target reachable by structure.
 
-    Each signal starts from the gold pairs and needs one step from the target
-    plus a semi join back to the source, so no neighbourhoods are paired up.
+    A signal is a document x that both ends of a gold pair reach in one step. Each pair
+    takes the steps of its end of lower degree and looks the others up by a semi join,
+    so no neighbourhood of a hub is opened for its many small neighbours.
     """
     pairs = gold.select("source", "target").distinct()
     out = retained.select("source", "target").distinct()
@@ -350,9 +365,12 @@ def reachability(gold: DataFrame, retained: DataFrame) -> DataFrame:
     apart = (F.col("x") != F.col("source")) & (F.col("x") != F.col("target"))
 
     def flagged(steps: DataFrame, back: DataFrame, name: str, condition: Column | None = None) -> DataFrame:
-        rows = pairs.join(steps, "target")
-        rows = rows if condition is None else rows.filter(condition)
-        return rows.join(back, ["source", "x"], "left_semi").select("source").distinct().withColumn(name, F.lit(1))
+        low, high = opened(pairs, back, steps)
+        if condition is not None:
+            low, high = low.filter(condition), high.filter(condition)
+        met = low.join(steps, ["target", "x"], "left_semi").select("source")
+        met = met.unionByName(high.join(back, ["source", "x"], "left_semi").select("source"))
+        return met.distinct().withColumn(name, F.lit(1))
 
     rows = pairs.select("source").distinct()
     rows = rows.join(flagged(into_target, source_to, "_two"), "source", "left")

@@ -269,3 +269,33 @@ def test_popularity_leaves_the_query_out(spark):
     got = R.popularity(edges, spark.createDataFrame([("x",), ("a",)], "source string"), 2).collect()
     lists = {q: [r["candidate"] for r in sorted(got, key=lambda r: r["rank"]) if r["source"] == q] for q in ("x", "a")}
     assert lists == {"x": ["y", "z"], "a": ["x", "y"]}
+
+
+def test_reachability_opens_hubs_only_against_hubs(spark):
+    """A hub target that a third of all edges point to: its in-edges are not paired with its gold pairs."""
+    n = 300
+    edges = [(f"s{i}", "hub") for i in range(n)] + [(f"s{i}", f"a{i}") for i in range(n)] + [(f"a{i}", "hub") for i in range(n)]
+    retained = spark.createDataFrame(edges, "source string, target string")
+    gold = spark.createDataFrame([(f"s{i}", "hub") for i in range(n)] + [("s0", "nowhere"), ("lone", "hub")], "source string, target string")
+    pairs = gold.distinct()
+    low, high = R.opened(pairs, retained.select("source", F.col("target").alias("x")), retained.select(F.col("source").alias("x"), "target"))
+    assert low.count() + high.count() <= 2 * n
+    r = R.reachability(gold, retained).first()
+    assert r["sources_measured"] == n + 1
+    assert r["two_hop_fraction"] == pytest.approx(n / (n + 1))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_reachability_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    name = lambda: f"n{min(int(rng.expovariate(0.2)), 25)}"
+    out = {(a, b) for a, b in ((name(), name()) for _ in range(160)) if a != b}
+    gold = {(a, b) for a, b in ((name(), name()) for _ in range(40)) if a != b}
+    got = R.reachability(spark.createDataFrame(sorted(gold), "source string, target string"), spark.createDataFrame(sorted(out), "source string, target string")).first()
+    nodes = {x for e in out for x in e}
+    two = {s for s, t in gold if any((s, x) in out and (x, t) in out for x in nodes)}
+    cocite = {s for s, t in gold if any(x not in (s, t) and (s, x) in out and (t, x) in out for x in nodes)}
+    citer = {s for s, t in gold if any(x not in (s, t) and (x, s) in out and (x, t) in out for x in nodes)}
+    n = len({s for s, _ in gold})
+    assert (got["two_hop_fraction"], got["co_citation_fraction"], got["common_citer_fraction"]) == pytest.approx((len(two) / n, len(cocite) / n, len(citer) / n))
+    assert got["any_signal_fraction"] == pytest.approx(len(two | cocite | citer) / n)
