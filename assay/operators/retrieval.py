@@ -11,6 +11,7 @@ from assay.functions.identity import hash_unit
 from assay.functions.text import is_echoed, token_count, tokens
 from assay.operators.lexical import best_documents
 from assay.operators.metrics import ratio
+from assay.operators.paths import two_edge_paths
 from assay.operators.running import row_numbers, top_per_group
 from assay.operators.splits import source_split
 from assay.session import cut_lineage
@@ -135,14 +136,7 @@ def retrieval_queries(docs: DataFrame, edges: DataFrame, sources: DataFrame) ->
 
 def two_hop(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """JN9: number of retained two-edge paths from each query source to each end."""
-    first = edges.join(sources.select("source"), "source", "left_semi").select("source", F.col("target").alias("_mid"))
-    second = edges.select(F.col("source").alias("_mid"), F.col("target").alias("candidate"))
-    return (
-        first.join(second, "_mid")
-        .filter("candidate <> source")
-        .groupBy("source", "candidate")
-        .agg(F.count("*").alias("paths"))
-    )
+    return two_edge_paths(edges, sources)
 
 
 def graph_scores(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import lexical
+from assay.operators import lexical, paths
 from assay.operators import retrieval as R
 from assay.operators import vectors as V
 
@@ -299,3 +299,26 @@ def test_reachability_against_brute_force(spark, seed):
     n = len({s for s, _ in gold})
     assert (got["two_hop_fraction"], got["co_citation_fraction"], got["common_citer_fraction"]) == pytest.approx((len(two) / n, len(cocite) / n, len(citer) / n))
     assert got["any_signal_fraction"] == pytest.approx(len(two | cocite | citer) / n)
+
+
+@pytest.mark.parametrize("heavy", [0, 50, 10**9])
+def test_two_edge_paths_through_hubs(spark, heavy):
+    """A node on a third of all edges, repeated edges and loops; block products equal the join."""
+    rng = random.Random(5)
+    name = lambda: f"n{rng.randrange(60):02d}"
+    edges = [(name(), name()) for _ in range(200)] + [(name(), "hub") for _ in range(50)] + [("hub", name()) for _ in range(50)]
+    asked = sorted({s for s, _ in edges})[::2] + ["unknown"]
+    want = Counter((s, c) for s, m in edges if s in asked for a, c in edges if a == m and c != s)
+    df = spark.createDataFrame(edges, "source string, target string")
+    got = paths.two_edge_paths(df, spark.createDataFrame([(s,) for s in asked], "source string"), heavy, 7, 5)
+    assert {(r["source"], r["candidate"]): r["paths"] for r in got.collect()} == want
+
+
+def test_a_hub_hands_on_one_row_per_pair(spark):
+    """Many middle nodes between the same ends: rows are pairs, not paths."""
+    first = [(f"s{i}", f"m{j}", 1) for i in range(12) for j in range(40)]
+    second = [(f"m{j}", f"c{i}", 1) for i in range(9) for j in range(40)]
+    rows = paths.heavy_paths(
+        spark.createDataFrame(first, "source string, mid string, n long"), spark.createDataFrame(second, "mid string, candidate string, n long"), 5, 8
+    ).collect()
+    assert len(rows) == 12 * 9 and {r["paths"] for r in rows} == {40}
