@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from assay.session import cut_lineage
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -62,8 +65,11 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group.
 
-    ``row_number() <= k`` lets the planner cut every map-side partition to ``k``
-    rows per group before the shuffle, so a hot group never travels whole.
+    Up to the planner's limit, ``row_number() <= k`` cuts every map-side partition to
+    ``k`` rows per group before the shuffle, so a hot group never travels whole. Beyond
+    it ranks come from sorted slabs, which needs a total order inside a group.
     """
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT)):
+        return row_numbers(df, by, order, name).filter(F.col(name) <= k).withColumn(name, F.col(name).cast("int"))
     spot = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn(name, spot).filter(F.col(name) <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.identity import case_key, hash_rank, hash_unit
 from assay.operators.running import row_numbers, top_per_group
+from assay.operators.selection import first_by_hash
 from assay.vocab import DEFAULT_SEED, SPLIT_POLICY
 
 
@@ -91,10 +92,7 @@ def stable_sample(
     if n < 0:
         raise ValueError("n must be non-negative")
     ids = df.select(*by, key).distinct().withColumn("hash_rank", hash_rank(seed, family, F.col(key)))
-    order = [F.col("hash_rank").asc(), F.col(key).asc()]
-    if not by:
-        return ids.orderBy(*order).limit(n)
-    return top_per_group(ids, by, order, n).drop("rank")
+    return first_by_hash(ids, n, tie=[key], by=by)
 
 
 def bernoulli_top(
@@ -111,11 +109,7 @@ def bernoulli_top(
         .agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
         .select("_row.*")
     )
-    top = (
-        rows.withColumn("hash_rank", hash_rank(seed, family, F.col(key)))
-        .orderBy("hash_rank", key)
-        .limit(n)
-    )
+    top = first_by_hash(rows.withColumn("hash_rank", hash_rank(seed, family, F.col(key))), n, tie=[key])
     if not required:
         return top
     have = top.agg(F.count("*").alias("n")).scalar()
@@ -130,7 +124,7 @@ def first_per_key(df: DataFrame, key: str, seed: int, family: str, tie: Sequence
     order = F.struct("hash_rank", *tie)
     whole = F.struct(*ranked.columns)
     firsts = ranked.groupBy(key).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
-    return firsts.orderBy("hash_rank", *tie).limit(n)
+    return first_by_hash(firsts, n, tie=tie)
 
 
 def first_n_per_group(df: DataFrame, group: str, n: int, ordinal: str) -> DataFrame:
