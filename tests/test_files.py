@@ -167,3 +167,20 @@ def test_ingest_resumes_without_duplicates(spark, tmp_path):
         ("j", "2", "provider_error", "missing_label"),
         ("j", "3", "provider_error", "probability_range"),
     ]
+    bad = sorted((r["judge_id"], r["record_id"], r["rule"]) for r in spark.read.parquet(f"{sink}-rejects").collect())
+    assert bad == [("j", "1", "duplicate_prediction"), ("j", "1", "duplicate_prediction"), ("j", "9", "unknown_record")]
+
+
+def test_a_batch_keeps_the_first_by_ordinal_and_can_run_again(spark, tmp_path):
+    schema = "judge_id string, record_id string, ordinal long, execution_status string, label string, latency_ms double"
+    pool = spark.createDataFrame([("1",), ("2",)], "record_id string")
+    rows = [("j", "1", 7, "ok", "fail", 1.0), ("j", "1", 3, "ok", "pass", 1.0), ("j", "1", 9, "ok", "fail", 1.0), ("k", "1", 4, "ok", "pass", 1.0)]
+    rows += [("j", "2", 5, "ok", "pass", 1.0), (None, "2", 6, "ok", "pass", 1.0), ("j", None, 8, "ok", "pass", 1.0), ("j", "x", 1, "ok", "pass", 1.0)]
+    held = spark.createDataFrame([("j", "2")], "judge_id string, record_id string")
+    for n in (1, 5):
+        good, bad = ingest.judged(spark.createDataFrame(rows, schema).repartition(n), pool, held)
+        assert sorted((r["judge_id"], r["record_id"], r["ordinal"]) for r in good.collect()) == [("j", "1", 3), ("k", "1", 4)]
+        assert sorted((r["ordinal"], r["rule"]) for r in bad.collect()) == [
+            (1, "unknown_record"), (5, "duplicate_prediction"), (6, "missing_key"), (7, "duplicate_prediction"), (8, "missing_key"), (9, "duplicate_prediction"),
+        ]
+
