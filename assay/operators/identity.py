@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +43,7 @@ def file_digests(spark: SparkSession, path: str, pattern: str | None = None) ->
     hexed = F.hex("content")
     pairs = F.regexp_replace(hexed, "(..)", "$1 ")
     clean = F.unhex(F.regexp_replace(F.regexp_replace(pairs, "0D 0A ", "0A "), " ", ""))
-    root = path.rstrip("/").split("://")[-1].lstrip("/")
+    root = re.sub("^([a-z]+:)?/+", "", path.rstrip("/"))
     relative = F.regexp_replace(F.col("path"), "^[a-z]+:/+" + _quoted(root) + "/?", "")
     return files.select(relative.alias("file"), F.sha2(clean, 256).alias("sha256"))
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from assay.operators import exports as E
+from assay.operators import identity as I
 from assay.operators import metrics as M
 from assay.plans import derive as D
 from assay.plans.metrics import KEYS, rounded, sliced
@@ -145,3 +146,43 @@ def exported_observations(spark, sf):
     path = f"{scratch(spark)}/observations"
     K.write_observations(E.observations(M.judge_summary(sliced(spark, sf), KEYS)), path)
     return rounded(spark.read.parquet(path))
+
+
+# Files of a hundred documents each, with both kinds of line ends.
+_FILES = """f AS (SELECT 'bucket='||(doc_id // 100) AS file, doc_id // 100 AS bucket,
+  sha256(replace(string_agg(coalesce(text, ''), chr(13)||chr(10) ORDER BY doc_id)||chr(10), chr(13)||chr(10), chr(10))) AS sha256 FROM documents GROUP BY ALL)"""
+
+
+def document_files(spark, sf):
+    """Write all documents as text files of a hundred each and digest them; a file is named by its folder."""
+    path = f"{scratch(spark)}/set"
+    docs = D.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("l"))  # a hundred each
+    rows.select("bucket", F.array_join(F.col("l.text"), "\r\n").alias("value")).repartition("bucket").write.partitionBy("bucket").text(path)
+    digests = I.file_digests(spark, path, "part-*")
+    return digests.select(F.regexp_extract("file", "^(bucket=[0-9]+)/", 1).alias("file"), "sha256")
+
+
+@query("IDN4", f"WITH {_FILES} SELECT file, sha256, (SELECT count(*) FROM f) AS files FROM f")
+def file_set_digests(spark, sf):
+    """Digest of every file with line ends made alike, and how many files the revision covers."""
+    digests = document_files(spark, sf)
+    revision = I.content_revision(digests)
+    return digests.withColumn("files", revision.select("files").scalar())
+
+
+@query(
+    "IDN5",
+    f"""WITH {_FILES} SELECT 'manifest' AS rule, file AS key, 'checksum mismatch' AS detail FROM f WHERE bucket % 3 = 1
+ UNION ALL SELECT 'manifest', 'gone-'||bucket, 'missing file' FROM f WHERE bucket % 2 = 0""",
+)
+def file_set_findings(spark, sf):
+    """A written manifest of the files: a third of the sums are wrong, and it names files that are not there."""
+    digests = document_files(spark, sf)
+    bucket = F.regexp_extract("file", "=([0-9]+)$", 1).cast("long")
+    wrong = F.lit("0" * 64)
+    lines = digests.select(F.concat(F.when(bucket % 3 == 1, wrong).otherwise(F.col("sha256")), F.lit("  "), "file").alias("value"))
+    gone = digests.where(bucket % 2 == 0).select(F.concat(wrong, F.lit("  gone-"), bucket.cast("string")).alias("value"))
+    path = f"{scratch(spark)}/sums"
+    lines.unionByName(gone).write.text(path)
+    return I.verify_manifest(I.read_manifest(spark, path), digests)

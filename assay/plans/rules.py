@@ -269,10 +269,10 @@ def training_leak_rule(spark, sf):
     "SET2",
     """SELECT coalesce(a.doc_id,b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both'
  WHEN a.doc_id IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS kind
- FROM (SELECT DISTINCT doc_id FROM documents WHERE lang='en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id=b.doc_id""",
+ FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id=b.doc_id""",
 )
 def id_set_overlap(spark, sf):
-    return V.overlap(D.table(spark, sf, "documents").filter("lang = 'en'"), D.table(spark, sf, "labels"), "doc_id")
+    return V.overlap(D.table(spark, sf, "documents"), D.table(spark, sf, "labels"), "doc_id")
 
 
 @query(
