@@ -291,12 +291,12 @@ def bm25_term_weights(spark, sf):
 @query(
     "RET2 TOP1",
     f"""WITH {_BM}, qt AS (SELECT DISTINCT 'b'||item_id AS source, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) AS term FROM benchmark),
- sc AS (SELECT source, doc AS candidate, sum(idf*(tf*2.2)/(tf+1.2*(1-0.75+0.75*doc_len/(SELECT avg(doc_len) FROM dl)))) AS score FROM qt JOIN df USING (term) JOIN ps USING (term) JOIN dl USING (doc) GROUP BY ALL)
- SELECT source, candidate, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score,9) DESC, candidate)::INT AS rank FROM sc) WHERE rank<=100""",
+ sc AS (SELECT source, doc AS candidate, sum(idf*(tf*2.2)/(tf+1.2*(1-0.75+0.75*doc_len/(SELECT avg(doc_len) FROM dl))) ORDER BY term) AS score FROM qt JOIN df USING (term) JOIN ps USING (term) JOIN dl USING (doc) GROUP BY ALL)
+ SELECT source, candidate, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, candidate)::INT AS rank FROM sc) WHERE rank<=100""",
 )
 def bm25_search(spark, sf):
     queries = D.table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("source"), "text")
-    # equal texts tie exactly here and up to the last bits of a float sum in SQL, which therefore ranks rounded scores
+    # both sides add up in the order of the terms, so equal texts tie exactly
     return rounded(R.bm25_search(prose(spark, sf), queries).select("source", "candidate", "score", "rank"), 6)
 
 
