@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from assay.llm import language_id
@@ -45,3 +47,21 @@ def test_spans_do_not_change_scores(monkeypatch, spark):
     monkeypatch.setattr(language_id, "SPAN", 7)
     parts = language_id.scores(texts, model)
     assert abs(whole - parts)[[0, 2, 4]].max() < 1e-9
+
+
+def test_texts_of_no_learned_language_go_and_clean_ones_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    learned = docs.where("lang <> 'fr'")
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(4000)]
+    planted = [(10**7 + i, " ".join(words[40 * i : 40 * i + 40])) for i in range(100)]
+    planted += [(2 * 10**7, "то есть язык людей в большом городе"), (2 * 10**7 + 1, "if (x[i] == y[k]) { return fn(&z, 0x1f); }")]
+    junk = spark.createDataFrame(planted, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    foreign = docs.where("lang = 'fr'").withColumn("lang", F.lit(None).cast("string"))
+    both = learned.select("doc_id", "text", "lang").unionByName(junk).unionByName(foreign.select("doc_id", "text", "lang"))
+    kept = language_id.keep_identified(both, ~language_id.held_out()).select("doc_id", "lang").cache()
+    clean = learned.where("length(text) > 0").count()
+    assert kept.where("lang IS NOT NULL").count() >= 0.99 * clean
+    assert kept.where("doc_id >= 10000000").count() <= 2
+    assert kept.where("lang IS NULL").count() <= 0.1 * foreign.count()
