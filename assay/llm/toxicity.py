@@ -1,9 +1,8 @@
 """Toxicity behind disguises: a noisy channel before a learned lexicon.
 
-1. One pass over all texts counts every character trigram (distinct words of each
-   batch with their counts, summed by Spark) and writes the disguised spans of
-   each text, keyed by the MD5 of the text. Neither table is cut or collected.
-2. Disguised spans are found: words with a sign or digit beside a letter, words of
+1. One pass over all texts counts every character trigram (words and their counts
+   per task, then trigrams, summed by Spark). The table is neither cut nor collected.
+2. Disguised spans: words with a sign or digit beside a letter, words of
    signs, words with a doubled letter, and three or more characters spelled apart. The channel lets an observed
    sign stand for several letters, a run shrink to one or two letters and
    separators vanish; Viterbi search through that lattice under the trigram
@@ -11,8 +10,11 @@
    that the lattices need are joined to the counts, so a task holds the costs of
    the spans at hand only.
 3. A lexicon of words and word beginnings is learned from a bounded sample of
-   labelled texts by a sparse logistic regression.
-4. The score of a text is the probability that this regression gives to the
+   labelled texts, with their spans restored, by a sparse logistic regression.
+4. A second pass writes the spans of all texts, keyed by the MD5 of the text. A span none of
+   whose readings begins with a lexicon entry can restore to nothing that counts; its
+   lattice is walked against the beginnings of the entries and it is left out there.
+5. The score of a text is the probability that this regression gives to the
    lexicon entries among its words, restored words and neighbouring fragments
    read as one word; restored words reach it by a join of texts and spans. What a
    doubled letter restores counts only where the word itself meets no entry.
@@ -48,6 +50,7 @@ PENALTY = 2.5
 STEPS = 600
 THRESHOLD = 0.3
 SLICE_ROWS = 1000
+HELD_WORDS = 1 << 18  # distinct words or trigrams of a task before they are passed on
 
 # Letters that a sign often stands for.
 LEET = {
@@ -86,10 +89,32 @@ def trigrams_of(words: Iterable[tuple[str, int]]) -> Counter:
     return out
 
 
-def word_counts(column: pa.Array) -> list[tuple[str, int]]:
+def word_counts(column: pa.Array) -> pa.Table:
+    """(word, n) of the letter runs of the lower-cased texts."""
     split = pc.split_pattern_regex(pc.utf8_lower(column), r"[^\pL]+").flatten()
     found = pc.value_counts(split)
-    return [(w, n) for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True) if w]
+    table = pa.table({"word": found.field(0), "n": found.field(1)})
+    return table.filter(pc.greater(pc.binary_length(table["word"]), 0))
+
+
+def summed_words(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
+    return whole.rename_columns({"n_sum": "n"})
+
+
+def trigram_table(words: pa.Table) -> pa.Table:
+    """(gram, n): the trigrams of distinct words with their counts, as ``trigrams_of`` counts them, by arrays."""
+    sizes = pc.utf8_length(words["word"]).to_numpy()
+    line = EDGE + EDGE + (EDGE + EDGE).join(words["word"].to_pylist()) + EDGE
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+    inner = (codes[1:-1] != ord(EDGE)) | (codes[2:] != ord(EDGE))  # else the window lies between two words
+    grams = ((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:])[inner]
+    order = np.argsort(grams, kind="stable")
+    grams, weights = grams[order], np.repeat(words["n"].to_numpy(), sizes + 1)[order]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    low = (1 << 21) - 1
+    spelled = [chr(g >> 42) + chr(g >> 21 & low) + chr(g & low) for g in grams[first].tolist()]
+    return pa.table({"gram": pa.array(spelled, pa.string()), "n": np.add.reduceat(weights, first)})
 
 
 class CharacterModel:
@@ -117,42 +142,79 @@ class CharacterModel:
         return -math.log(p3)
 
 
-def grams_and_spans(rows: DataFrame) -> DataFrame:
-    """(gram, n) over all texts, one row per gram and task, and (text_key, span, apart) per text, in one table."""
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(gram, n) over all texts, summed per task first; a task holds ``HELD_WORDS`` distinct words and one slice at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                held.append(word_counts(batch.column(0).slice(at, SLICE_ROWS)))
+                if sum(t.num_rows for t in held) < HELD_WORDS:
+                    continue
+                held = [summed_words(held)]
+                if held[0].num_rows >= HELD_WORDS // 2:
+                    yield from trigram_table(held.pop()).to_batches()
+        words = summed_words(held) if held else None
+        if words is not None and words.num_rows:
+            yield from trigram_table(words).to_batches()
+
+    parts = rows.select("text").mapInArrow(run, "gram string, n long")
+    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+class Reach:
+    """Whether the lattice of a span can spell an entry of the lexicon; exact up to the channel's costs, never too narrow."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        self.ends = {k.removesuffix(EDGE) for k in lexicon}
+        self.heads = {k[:n] for k in self.ends for n in range(len(k) + 1)}
+
+    def __call__(self, span: str, apart: bool) -> bool:
+        # a word that meets an entry is scored as it is written
+        return self.spells(span, apart) and (apart or not any(strength(p, self.lexicon) for p in WORD.findall(span)))
+
+    def spells(self, span: str, apart: bool) -> bool:
+        begun = {""}
+        for options in readings(span):
+            onward = {""} if apart else set()  # letters spelled apart may run into each other
+            for head in begun:
+                for letter, _ in options:
+                    longer = head + letter
+                    if letter and longer in self.ends:
+                        return True
+                    if longer in self.heads:
+                        onward.add(longer)
+            if not onward:
+                return False
+            begun = onward
+        return False
+
+
+def spans_in_reach(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """(text_key, span, apart) of the disguised spans that may restore to a lexicon entry."""
     keyed = rows.select("text", text_key(F.col("text")).alias("text_key"))
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # of bounded size
+    if not lexicon:
+        return keyed.limit(0).select("text_key", F.col("text").alias("span"), F.lit(True).alias("apart"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        reach = Reach(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 cut = batch.slice(at, SLICE_ROWS)
-                total.update(trigrams_of(word_counts(cut.column(0))))
-                found = list(spans_of_batch(cut.column(0)))
-                keys = cut.column(1)
+                found = list(spans_of_batch(cut.column(0), reach))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.nulls(len(found), pa.string()),
-                        pa.nulls(len(found), pa.int64()),
-                        keys.take(pa.array([row for row, _, _ in found], pa.int64())),
+                        cut.column(1).take(pa.array([row for row, _, _ in found], pa.int64())),
                         pa.array([span for _, span, _ in found], pa.string()),
                         pa.array([apart for _, _, apart in found], pa.bool_()),
                     ],
-                    schema=pa.schema(
-                        [("gram", pa.string()), ("n", pa.int64()), ("text_key", keys.type), ("span", pa.string()), ("apart", pa.bool_())]
-                    ),
+                    names=["text_key", "span", "apart"],
                 )
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(total), pa.string()),
-                pa.array(list(total.values()), pa.int64()),
-                pa.nulls(len(total), pa.binary()),
-                pa.nulls(len(total), pa.string()),
-                pa.nulls(len(total), pa.bool_()),
-            ],
-            names=["gram", "n", "text_key", "span", "apart"],
-        )
 
-    return keyed.mapInArrow(run, "gram string, n long, text_key binary, span string, apart boolean")
+    return keyed.mapInArrow(run, "text_key binary, span string, apart boolean")
 
 
 def gram_costs(needed: DataFrame, counts: DataFrame) -> DataFrame:
@@ -184,9 +246,8 @@ def gram_costs(needed: DataFrame, counts: DataFrame) -> DataFrame:
 # --- the channel -----------------------------------------------------------------------------
 
 
-def readings(span: str) -> list[list[tuple[str, float]]]:
+def readings(span: str) -> Iterator[list[tuple[str, float]]]:
     """For each observed place the letters it may stand for (``""``: dropped), with costs."""
-    out: list[list[tuple[str, float]]] = []
     last, run = "", 0
     for c in span:
         own = LEET.get(c)
@@ -204,8 +265,7 @@ def readings(span: str) -> list[list[tuple[str, float]]]:
             options = [("", RUN_COST)]  # nothing is spelled with three equal letters
         elif run == 2 and c.isalpha():
             options.append(("", RUN_COST))
-        out.append(options)
-    return out
+        yield options
 
 
 def restored(span: str, model: CharacterModel) -> str:
@@ -295,16 +355,29 @@ def spans_of(text: str) -> set[tuple[str, bool]]:
     return out | {(m.group(), True) for m in SPELLED_APART.finditer(text)}
 
 
-def spans_of_batch(column: pa.Array) -> Iterator[tuple[int, str, bool]]:
-    """(row, span, apart): ``spans_of`` each text; words are looked at once per batch."""
+def may_double(words: pa.Array) -> np.ndarray:
+    """Words with two equal bytes side by side or a byte beyond ASCII: all words with a doubled letter, and some others."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    sign = data >= 0x80
+    sign[1:] |= data[1:] == data[:-1]
+    starts = offsets[:-1][offsets[:-1] < len(data)]
+    sign[starts] = data[starts] >= 0x80  # the first byte of a word follows nothing
+    total = np.concatenate([[0], np.cumsum(sign)])
+    return total[offsets[1:]] > total[offsets[:-1]]
+
+
+def spans_of_batch(column: pa.Array, reach: Callable[[str, bool], bool] = lambda span, apart: True) -> Iterator[tuple[int, str, bool]]:
+    """(row, span, apart): ``spans_of`` each text, as far as ``reach`` holds; words are looked at once per batch."""
     lower = pc.utf8_lower(column)
     words = pc.split_pattern_regex(lower, r"[\pZ\s]+")
     coded = pc.dictionary_encode(words.flatten())
     spelled = coded.dictionary
-    maybe = pc.match_substring_regex(spelled, DISGUISED_RE2).to_numpy(zero_copy_only=False)
+    maybe = pc.match_substring_regex(spelled, DISGUISED_RE2).to_numpy(zero_copy_only=False) | may_double(spelled)
     spans = {}
-    for i, w in enumerate(spelled.to_pylist()):
-        if (maybe[i] or DISGUISED.search(w)) and DISGUISED.search(seen := trimmed(w)):
+    for i, w in zip(np.flatnonzero(maybe).tolist(), spelled.filter(pa.array(maybe)).to_pylist(), strict=True):
+        seen = trimmed(w)
+        if DISGUISED.search(seen) and reach(seen, False):
             spans[i] = seen
     if spans:
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -315,7 +388,8 @@ def spans_of_batch(column: pa.Array) -> Iterator[tuple[int, str, bool]]:
             yield row, span, False
     for row in np.flatnonzero(pc.match_substring_regex(lower, SPELLED_APART_RE2).to_numpy(zero_copy_only=False)):
         for span in {m.group() for m in SPELLED_APART.finditer(str(lower[int(row)]))}:
-            yield int(row), span, True
+            if reach(span, True):
+                yield int(row), span, True
 
 
 def restored_words(text: str, restore: Callable[[str], str]) -> list[str]:
@@ -419,6 +493,7 @@ def sample(docs: DataFrame, labels: DataFrame, learned: Column, per_label: int)
     rows = (
         docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
         .select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
+        .distinct()  # an id may stand in any number of rows
         .collect()
     )
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -434,17 +509,18 @@ def text_key(text: Column) -> Column:
 
 def fitted(rows: DataFrame, labels: DataFrame, learned: Column, per_label: int) -> tuple:
     """Lexicon, bias and the table (text_key, entries) of what restored words add; ``rows`` are (doc_id, text)."""
-    both = saved(grams_and_spans(rows), "toxicity-grams-spans")
-    counts = saved(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "toxicity-grams")
-    spans = both.where("span IS NOT NULL").select("text_key", "span", "apart")
-    spelled = saved(restored_spans(spans, counts), "toxicity-spelled")
+    spark = rows.sparkSession
+    counts = saved(gram_counts(rows), "toxicity-grams")
     train_rows, share = sample(rows, labels, F.coalesce(learned, F.lit(False)), per_label)
-    keys = rows.sparkSession.createDataFrame(
-        [(bytearray(hashlib.md5(t.encode()).digest()),) for t, _ in train_rows], "text_key binary"
-    ).distinct()  # at most 2 * per_label rows
-    own = spans.join(F.broadcast(keys), "text_key").select("span").distinct().join(spelled, "span").collect()
-    known = {r["span"]: r["spelled"] for r in own}  # of the sampled texts
+    lowered = pc.utf8_lower(pa.array([t for t, _ in train_rows], pa.string())).to_pylist()
+    own = sorted({span for t in lowered for span, _ in spans_of(t)})  # of the sampled texts
+    known = {}
+    if own:
+        sampled = spark.createDataFrame(pa.table({"span": pa.array(own, pa.string())}))
+        known = {r["span"]: r["spelled"] for r in restored_spans(sampled, counts).collect()}
     lexicon, bias = learn(train_rows, lambda span: known.get(span, ""), share)
+    spans = saved(spans_in_reach(rows, lexicon), "toxicity-spans")
+    spelled = saved(restored_spans(spans, counts), "toxicity-spelled")
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # of bounded size
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,8 +529,6 @@ def fitted(rows: DataFrame, labels: DataFrame, learned: Column, per_label: int)
             for span, apart, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # letters spelled apart may run into each other: look for entries at every start
                 starts = range(len(word)) if apart else (0,)
-                if not apart and any(strength(p, shared.value) for p in WORD.findall(span)):
-                    continue  # scored as it is written
                 entries = sorted({k for i in starts for k, _ in strength(word[i:], shared.value)})
                 if entries:
                     found.append((span, apart, entries))
@@ -537,19 +611,25 @@ def score_batch(column: pa.Array, added: pa.Array, lexicon: dict[str, float], bi
     words = pc.split_pattern_regex(pc.utf8_lower(column), r"[\pZ\s]+")
     coded = pc.dictionary_encode(words.flatten())
     found: dict[int, list[tuple[str, float]]] = {}
-    heads, ends, starts = part_heads(lexicon), {}, {}
-    for i, w in enumerate(coded.dictionary.to_pylist()):
+    # a word of at least three letters shares three with an entry that it meets
+    heads, firsts, ends = part_heads(lexicon), {k.removesuffix(EDGE)[:3] for k in lexicon}, []
+    spelled = coded.dictionary.to_pylist()
+    for i, w in enumerate(spelled):
+        if w.isalpha():  # one part
+            if w[:3] in firsts and (hits := strength(w, lexicon)):
+                found[i] = hits
+            if w in heads:
+                ends.append(i)
+            continue
         parts = WORD.findall(w)
-        hits = [h for p in parts for h in strength(p, lexicon)]
+        hits = [h for p in parts if p[:3] in firsts for h in strength(p, lexicon)]
         for a, b in zip(parts, parts[1:]):
             if a in heads:
                 hits += joined_hits(a, b, lexicon)
         if hits:
             found[i] = hits
-        if parts:
-            starts[i] = parts[0]
-            if parts[-1] in heads:
-                ends[i] = parts[-1]
+        if parts and parts[-1] in heads:
+            ends.append(i)
     evidence: list[dict[str, float]] = [{k: lexicon[k] for k in keys or ()} for keys in added.to_pylist()]
     if found:
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -561,7 +641,7 @@ def score_batch(column: pa.Array, added: pa.Array, lexicon: dict[str, float], bi
         codes = coded.indices.to_numpy(zero_copy_only=False)
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         flagged = np.zeros(len(coded.dictionary), bool)
-        flagged[list(ends)] = True
+        flagged[ends] = True
         inner = np.ones(len(codes), bool)
         inner[offsets[1:][offsets[1:] > 0] - 1] = False  # the last word of a text has no neighbour
         spots = np.flatnonzero(flagged[codes] & inner)
@@ -569,7 +649,8 @@ def score_batch(column: pa.Array, added: pa.Array, lexicon: dict[str, float], bi
         for spot in spots:
             pair = int(codes[spot]), int(codes[spot + 1])
             if pair not in met:
-                met[pair] = joined_hits(ends[pair[0]], starts[pair[1]], lexicon) if pair[1] in starts else []
+                last, behind = WORD.findall(spelled[pair[0]])[-1], WORD.search(spelled[pair[1]])
+                met[pair] = joined_hits(last, behind.group(), lexicon) if behind else []
             if met[pair]:
                 evidence[np.searchsorted(offsets, spot, side="right") - 1].update(met[pair])
     known = bias > -math.inf  # else nothing was learned

@@ -12,8 +12,8 @@ COMMON = "idiot stupid loser moron pathetic scum trash clown"
 
 def tables(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    both = toxicity.grams_and_spans(rows)
-    return both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), both.where("span IS NOT NULL")
+    found = sorted({span for t in texts for span, _ in toxicity.spans_of(t)})
+    return toxicity.gram_counts(rows), spark.createDataFrame([(s,) for s in found], "span string")
 
 
 def test_table_model_is_the_model_of_all_counts(spark):
@@ -62,3 +62,26 @@ def test_every_kind_of_disguise_scores_high(spark):
     got = {r.doc_id: r.score for r in toxicity.scored(both, labels, F.lit(True)).collect()}
     assert {w for i, w in enumerate(planted) if got[900 + i] < toxicity.THRESHOLD} == set()
     assert {w for i, w in enumerate(plain, len(planted)) if got[900 + i] >= toxicity.THRESHOLD} == set()
+
+
+def test_words_of_several_flushes_add_up(spark, monkeypatch):
+    texts = [COMMON, "漢字語 " + COMMON, "", "a a a bb"] * 5
+    words = Counter(w for t in texts for w in toxicity.WORD.findall(t))
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 3)  # forked or not, the sums are the same
+    got = {r.gram: r.n for r in toxicity.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == dict(toxicity.trigrams_of(words.items()))
+
+
+def test_reach_leaves_out_only_spans_that_restore_to_nothing(spark):
+    lexicon = {"idiot" + toxicity.EDGE: 1.0, "stup": 1.0, "ass" + toxicity.EDGE: 1.0}
+    reach = toxicity.Reach(lexicon)
+    model = toxicity.CharacterModel(toxicity.trigrams_of({w: 50 for w in COMMON.split() + ["ass"]}.items()).items())
+    spans = {s for t in ["1d10t a$$ stuupid hello letter b00k i d i o t", "x i d 1 o t y @55 $tup1d stupid77 ass1"] for s in toxicity.spans_of(t)}
+    for span, apart in spans:
+        word = toxicity.restored(span, model)
+        starts = range(len(word)) if apart else (0,)
+        written = not apart and any(toxicity.strength(p, lexicon) for p in toxicity.WORD.findall(span))
+        meets = not written and any(toxicity.strength(word[i:], lexicon) for i in starts)
+        assert reach(span, apart) or not meets
+    assert {s for s, apart in spans if reach(s, apart)} >= {"1d10t", "a$$", "stuupid", "$tup1d"}
+    assert not reach("hello", False) and not reach("letter", False)
