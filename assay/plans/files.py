@@ -109,24 +109,38 @@ def graph_shards(spark, sf):
     return S.read_graph(spark, path, ["source", "target"])
 
 
+ORDERS_A_DOCUMENT = 500
+
+
 @query(
     "SRC6",
-    "SELECT o_orderpriority AS folder, count(*) AS documents FROM orders WHERE o_orderstatus<>'P' GROUP BY ALL",
+    f"""WITH b AS (SELECT o_orderkey % (SELECT count(*) // {ORDERS_A_DOCUMENT} + 1 FROM orders) AS bucket, o_orderkey, o_orderstatus FROM orders)
+    SELECT bucket::VARCHAR AS folder, bucket % 5 < 3 AS readable, CASE WHEN bucket % 5 < 3 THEN count(*) END AS documents,
+      CASE WHEN bucket % 5 < 3 THEN min(o_orderkey) END AS first_key, CASE WHEN bucket % 5 < 3 THEN arg_min(o_orderstatus, o_orderkey) END AS first_status
+    FROM b GROUP BY bucket""",
 )
 def result_tree(spark, sf):
-    """One JSON line file per folder is too coarse for a tree, so every row keeps its own file name by partition."""
+    """A document per bucket of orders, so the tree grows with the table; two of five are cut off or no object and read as null."""
     o = D.table(spark, sf, "orders")
     path = f"{scratch(spark)}/tree"
-    body = F.when(F.col("o_orderstatus") == "P", "[1]").otherwise(F.to_json(F.struct("o_orderkey", "o_orderstatus")))
-    lines = o.select("o_orderpriority", body.alias("line"))
-    docs = lines.groupBy("o_orderpriority").agg(
-        F.count_if(F.startswith("line", F.lit("{"))).alias("n"), F.min(F.when(F.startswith("line", F.lit("{")), F.col("line"))).alias("sample")
-    )
-    whole = F.concat(F.lit('{"documents": '), "n", F.lit(', "sample": '), "sample", F.lit("}"))
-    docs.select(F.col("o_orderpriority").alias("folder"), whole.alias("value")).repartition("folder").write.partitionBy("folder").text(path)
+    buckets = o.count() // ORDERS_A_DOCUMENT + 1
+    rows = o.select((F.col("o_orderkey") % buckets).alias("bucket"), F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("row"))
+    docs = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("row")).alias("orders"))  # a bucket holds about ORDERS_A_DOCUMENT rows
+    whole = F.to_json(F.struct(F.size("orders").alias("documents"), "orders"))
+    kind = F.col("bucket") % 5
+    value = F.when(kind == 3, F.substring(whole, 1, 40)).when(kind == 4, F.to_json("orders")).otherwise(whole)
+    docs.select(F.col("bucket").alias("folder"), value.alias("value")).write.partitionBy("folder").text(path)
     tree = S.read_result_tree(spark, path, "part-*")
+
+    def field(at: str, kind: str):
+        return F.try_variant_get("doc", at, kind)
+
     return tree.select(
-        F.url_decode(F.regexp_extract("path", "folder=([^/]*)/", 1)).alias("folder"), F.try_variant_get("doc", "$.documents", "bigint").alias("documents")
+        F.regexp_extract("path", "folder=([^/]*)/", 1).alias("folder"),
+        F.col("doc").isNotNull().alias("readable"),
+        field("$.documents", "bigint").alias("documents"),
+        field("$.orders[0].key", "bigint").alias("first_key"),
+        field("$.orders[0].status", "string").alias("first_status"),
     )
 
 
