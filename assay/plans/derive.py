@@ -136,7 +136,7 @@ def predictions(recs: DataFrame, seed: int = 42, judges=JUDGES) -> DataFrame:
     )
 
 
-def _pred_sql(name: str, seed: int) -> str:
+def pred_sql(name: str, seed: int, source: str = "rec") -> str:
     def u(kind: str, tail: str = "") -> str:
         return unit_sql(f"'{seed}:{kind}:'||judge_id||':'||record_id{tail}")
 
@@ -152,7 +152,7 @@ def _pred_sql(name: str, seed: int) -> str:
         CASE WHEN mode='pairwise' THEN {w(3)} ELSE 0.0::DOUBLE END AS w3,
         {u('status')} AS s, {u('kind')} AS k, {u('map')} AS um, {u('latency')} AS ul, {u('usage')} AS uu,
         floor(100+{u('in')}*400) AS ti, floor(10+{u('out')}*50) AS tou
- FROM rec CROSS JOIN (VALUES ('a',0.10::DOUBLE),('b',0.25::DOUBLE),('c',0.40::DOUBLE)) jj(judge_id,skill)),
+ FROM {source} CROSS JOIN (VALUES ('a',0.10::DOUBLE),('b',0.25::DOUBLE),('c',0.40::DOUBLE)) jj(judge_id,skill)),
 {name}_p AS (SELECT *, w1/(w1+w2+w3) AS q1, w2/(w1+w2+w3) AS q2, w3/(w1+w2+w3) AS q3,
   CASE WHEN s<0.90 THEN 'ok' WHEN s<0.95 THEN 'rate_limited' WHEN s<0.97 THEN 'parse_error'
        WHEN s<0.99 THEN 'provider_error' ELSE 'skipped' END AS execution_status FROM {name}_w),
@@ -170,8 +170,8 @@ def _pred_sql(name: str, seed: int) -> str:
   execution_status='ok' AND uu>=0.1 AS has_usage, ti::DOUBLE AS ti, tou::DOUBLE AS tou FROM {name}_p)"""
 
 
-PRED = _pred_sql("pred", 42)
-PRED_RETRY = _pred_sql("redo", 43)
+PRED = pred_sql("pred", 42)
+PRED_RETRY = pred_sql("redo", 43)
 
 SCORED = """sc AS (
  SELECT r.record_id, r.mode, r.source, r.gold, r.ordinal, r.split, r.source_problem_id,

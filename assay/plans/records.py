@@ -460,19 +460,22 @@ def majority_judge(spark, sf):
     return G.majority_judge(recs.filter("split = 'test'"), recs.filter("split <> 'test'"))
 
 
-_SWAPQ = """sq AS (SELECT p.judge_id, p.record_id, p.label, r.label AS other FROM pred p JOIN redo r USING (judge_id, record_id) JOIN rec USING (record_id)
-  WHERE mode='pairwise' AND p.label IS NOT NULL AND r.label IS NOT NULL)"""
+_FLIPPED = """flipped AS (SELECT * REPLACE (CASE gold WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' ELSE gold END AS gold) FROM rec WHERE mode='pairwise')"""
+_SWAPQ = """sq AS (SELECT p.judge_id, p.record_id, p.label, r.label AS other FROM pred p JOIN turned r USING (judge_id, record_id)
+  WHERE p.label IS NOT NULL AND r.label IS NOT NULL)"""
 
 
 @query(
     "AGG20",
-    D.scored_with(D.PRED_RETRY, _SWAPQ)
+    D.scored_with(_FLIPPED, D.pred_sql("turned", 43, "flipped"), _SWAPQ)
     + """ SELECT judge_id, count(*) AS pairs, round(avg((other=CASE label WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' ELSE label END)::INT),9) AS swap_consistency FROM sq GROUP BY judge_id""",
 )
 def swap_consistency(spark, sf):
-    recs = D.bare_records(spark, sf).filter("mode = 'pairwise'")
+    """The second predictions are made on the swapped pairs; the swap names the record that each comes from."""
+    recs = D.records(spark, sf).filter("mode = 'pairwise'")
+    swapped = G.swap_pairs(recs)
     ok = "execution_status = 'ok'"
-    second = D.predictions(recs, seed=43).filter(ok).withColumnRenamed("record_id", "source_record_id")
+    second = D.predictions(swapped, seed=43).filter(ok).join(swapped.select("record_id", "source_record_id"), "record_id")
     from assay.plans.metrics import rounded
 
     return rounded(M.swap_consistency(D.predictions(recs).filter(ok), second, ["judge_id"]))
