@@ -7,14 +7,15 @@ log-likelihoods under both, divided by its number of characters; the threshold
 is where the rates of wrongly rejected and wrongly accepted rule-decided URLs
 meet. All counts cover all rows. Models hold one row per distinct gram, joined
 by gram; strings are scored once per distinct value, so a repeated URL or a hot
-host is one row per map task.
+host is one row per map task. Grams carry the first 128 bits of their string's
+SHA-256 and are cut in one pass, so a very long URL costs its length and no more.
 
 With ``whole`` the models learn and score the whole URL as it is written, scheme,
 query and fragment included; without it only host and path, one after the other.
 Rules read host and path either way. A null URL counts as empty; one without
 ``://`` has an empty host and path, so only ``whole`` tells such URLs apart. Null
 ids pass through; repeated rows each get the same verdict. When the rules accept or reject nothing, a score has no sign and
-the verdict is allow.
+the verdict is allow; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,8 +59,13 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def grams(text: Column, order: int) -> Column:
     """Each character with the ``order`` characters before it, the end mark included."""
-    padded = F.concat(F.lit(START * order), text, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    signs = F.split(F.concat(F.lit(START * order), text, F.lit(END)), "")
+    shifted = [F.slice(signs, k + 1, F.length(text) + 1).alias(f"s{k}") for k in range(order + 1)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat(*[z[f"s{k}"] for k in range(order + 1)]))
+
+
+def text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def gram_ratios(counts: DataFrame, order: int) -> DataFrame:
@@ -135,23 +141,23 @@ def judged(
     text = F.coalesce(F.col(url_col), F.lit("")) if whole else F.concat(host, path)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), text.alias("text"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("decided", verdict)
+    rows = rows.withColumns({"rule": name, "decided": verdict, "key": text_key(F.col("text"))})
     kinds = [F.count_if(F.col("decided") == k).alias(k) for k in ("allow", "block")]
-    strings = saved(rows.groupBy("text").agg(*kinds), "urls")
-    spelled = strings.select("text", "allow", "block", F.explode(grams(F.col("text"), order)).alias("gram"))
+    strings = saved(rows.groupBy("key", "text").agg(*kinds), "urls")
+    spelled = strings.select("key", "allow", "block", F.explode(grams(F.col("text"), order)).alias("gram"))
     counts = saved(
         spelled.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-grams"
     )
     ratios = saved(gram_ratios(counts, order), "url-ratios")
     scored = saved(
         spelled.join(ratios, "gram")
-        .groupBy("text")
+        .groupBy("key")
         .agg(F.avg("ratio").alias("score"), F.first("allow").alias("allow"), F.first("block").alias("block")),
         "url-scores",
     )
     threshold = balanced_threshold(scored)
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return rows.join(scored.select("text", "score"), "text").select(
+    return rows.join(scored.select("key", "score"), "key").select(
         "page_id",
         "host",
         "path",

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from assay.llm import url_models
@@ -93,3 +95,15 @@ def test_awkward_urls(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_models.judged(empty).count() == 0
+
+
+def test_a_very_long_url_is_scored_in_linear_time(spark):
+    draw = random.Random(3)
+    long = "http://b.com/x?" + "".join(draw.choice("abcdefghij/&=") for _ in range(300_000))
+    urls = ["http://a.org/1", "http://b.com/de/2", long, long, "http://ü.com/" + "ü" * 1000]
+    start = time.monotonic()
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in url_models.judged(pages, whole=True).collect()}
+    assert time.monotonic() - start < 60  # a copy of the text on every gram: 90 GB
+    assert len(got) == 5 and got[2].score == got[3].score
+    check(spark, urls[:2] + [long[:3000]] + urls[4:])
