@@ -410,32 +410,56 @@ def learn(rows: list[tuple[str, int]], restore: Callable[[str], str], toxic_shar
     n = [sum(label == k for _, label in rows) for k in (0, 1)]
     if not all(n):
         return {}, -math.inf
+
+    def keys(text: str) -> set[str]:
+        lower = pc.utf8_lower(pa.scalar(text, pa.string())).as_py()
+        return {k for w in {*WORD.findall(lower), *restored_words(lower, restore)} for k in keys_of(w)}
+
     held: dict[str, list[int]] = defaultdict(list)
-    clean: dict[str, list[int]] = defaultdict(list)
     for i, (text, label) in enumerate(rows):
-        lower = pc.utf8_lower(pa.scalar(text, pa.string())).as_py()
-        for key in {k for w in {*WORD.findall(lower), *restored_words(lower, restore)} for k in keys_of(w)}:
-            (held if label else clean)[key].append(i)
+        if label:
+            for key in keys(text):
+                held[key].append(i)
+    held = {k: d for k, d in held.items() if len(d) >= LEAST_TEXTS}
+    clean: dict[str, list[int]] = defaultdict(list)  # of keys that may be entries, few of all keys of clean texts
+    for i, (text, label) in enumerate(rows):
+        if not label:
+            for key in keys(text) & held.keys():
+                clean[key].append(i)
     # labels are sampled apart: weigh clean texts as they occur
     weight = (n[1] / toxic_share - n[1]) / n[0] if 0 < toxic_share < 1 else 1.0
     usual = n[1] / (n[1] + weight * n[0])
     likely = {
         k: len(d)
         for k, d in held.items()
-        if len(d) >= LEAST_TEXTS and len(d) >= LEAST_PRECISION * (len(d) + weight * len(clean.get(k, ())))
+        if len(d) >= LEAST_PRECISION * (len(d) + weight * len(clean.get(k, ())))
     }
     names = sorted(likely, key=lambda k: (-likely[k], k))[:MOST_ENTRIES]
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for j, k in enumerate(names):
-        x[held[k], j] = 1
-        x[clean.get(k, []), j] = 1
+    of = [held[k] + clean.get(k, []) for k in names]
+    places = np.fromiter((i for d in of for i in d), np.int32)
+    sizes = np.fromiter(map(len, of), np.int64)
+    x = Marks(places, np.repeat(np.arange(len(names), dtype=np.int32), sizes), (len(rows), len(names)))
     truth = np.array([label for _, label in rows], np.float32)
     share = np.where(truth == 1, 1.0, weight).astype(np.float32)
     values, bias = covering_weights(x, truth, share, math.log(usual / (1 - usual)))
     return {k: float(v) for k, v in zip(names, values, strict=True) if v > 0}, bias
 
 
-def covering_weights(x: np.ndarray, truth: np.ndarray, share: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+class Marks:
+    """A matrix of zeros and ones, kept as the places of its ones."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.shape = rows, columns, shape
+
+    @property
+    def T(self) -> Marks:  # noqa: N802
+        return Marks(self.columns, self.rows, self.shape[::-1])
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, vector[self.columns], self.shape[0]).astype(np.float32)
+
+
+def covering_weights(x: np.ndarray | Marks, truth: np.ndarray, share: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
     """Logistic regression with weights of at least 0 and an L1 penalty, by accelerated proximal steps.
 
     An entry enters only if enough toxic texts are not explained by others, so the
@@ -512,7 +536,7 @@ def fitted(rows: DataFrame, labels: DataFrame, learned: Column, per_label: int)
     spark = rows.sparkSession
     counts = saved(gram_counts(rows), "toxicity-grams")
     train_rows, share = sample(rows, labels, F.coalesce(learned, F.lit(False)), per_label)
-    lowered = pc.utf8_lower(pa.array([t for t, _ in train_rows], pa.string())).to_pylist()
+    lowered = (pc.utf8_lower(pa.scalar(t, pa.string())).as_py() for t, _ in train_rows)
     own = sorted({span for t in lowered for span, _ in spans_of(t)})  # of the sampled texts
     known = {}
     if own:

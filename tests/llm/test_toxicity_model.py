@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assay.llm import toxicity
@@ -85,3 +86,17 @@ def test_reach_leaves_out_only_spans_that_restore_to_nothing(spark):
         assert reach(span, apart) or not meets
     assert {s for s, apart in spans if reach(s, apart)} >= {"1d10t", "a$$", "stuupid", "$tup1d"}
     assert not reach("hello", False) and not reach("letter", False)
+
+
+def test_weights_of_marks_equal_those_of_the_dense_matrix():
+    draw = np.random.default_rng(4)
+    dense = (draw.random((200, 40)) < 0.1).astype(np.float32)
+    dense[:, 39] = 0  # an entry that no text holds
+    truth = (dense[:, :3].sum(axis=1) > 0).astype(np.float32)
+    share = np.where(truth == 1, 1.0, 2.5).astype(np.float32)
+    at, of = np.nonzero(dense)
+    marks = toxicity.Marks(at, of, dense.shape)
+    found = toxicity.covering_weights(marks, truth, share, -1.0)
+    wanted = toxicity.covering_weights(dense, truth, share, -1.0)
+    assert np.allclose(found[0], wanted[0], atol=1e-3) and abs(found[1] - wanted[1]) < 1e-3
+    assert (found[0] > 0).tolist() == (wanted[0] > 0).tolist()
