@@ -45,7 +45,8 @@ SALTS = 64  # parts of a language that are ranked apart
 LEFT_OUT = 4  # models trained without a share of the languages, for the rejection
 HELD_BACK = 5  # one of so many sampled texts calibrates instead of training
 REJECTED_SHARE = 0.001  # of the calibration texts that are predicted rightly
-SPAN = 1 << 20  # letters hashed at once
+SPAN = 1 << 17  # letters hashed at once
+PACKED = 200  # texts whose features are kept in one array
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -108,6 +109,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def packed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of many texts as parts of few large arrays, whose memory goes back when the fit ends."""
+    out = []
+    for at in range(0, len(texts), PACKED):
+        own = [features(text, BUCKETS) for text in texts[at : at + PACKED]]
+        buckets, shares = (np.concatenate(column) for column in zip(*own, strict=True))
+        ends = np.cumsum([len(b) for b, _ in own])
+        out += [(buckets[end - len(b) : end], shares[end - len(b) : end]) for end, (b, _) in zip(ends, own, strict=True)]
+    return out
+
+
 Sample = list[tuple[tuple[np.ndarray, np.ndarray], int]]
 
 
@@ -138,7 +150,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """``rows`` are (text, language) in a fixed order."""
     languages = sorted({lang for _, lang in rows})
     place = {lang: i for i, lang in enumerate(languages)}
-    sample = [(features(text, BUCKETS), place[lang], text) for text, lang in rows]
+    sample = [(f, place[lang], text) for f, (text, lang) in zip(packed([text for text, _ in rows]), rows, strict=True)]
     sample = [s for s in sample if len(s[0][0])]
     nothing = np.zeros(4)
     if not sample:
@@ -257,7 +269,7 @@ def logits_of(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, n
             sums[row[first]] += np.add.reduceat(model.table[bucket], first, axis=0, dtype=np.float64)
             counts += np.bincount(row, minlength=len(codes))
     if len(whole):
-        letters = np.add.reduceat((whole != 0).astype(np.int64), starts) > 0
+        letters = np.maximum.reduceat(whole, starts) > 0
     return sums / np.maximum(counts, 1)[:, None] + model.bias, counts, letters
 
 

@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assay.llm import language_id
@@ -65,3 +68,25 @@ def test_texts_of_no_learned_language_go_and_clean_ones_stay(spark, sf):
     assert kept.where("lang IS NOT NULL").count() >= 0.99 * clean
     assert kept.where("doc_id >= 10000000").count() <= 2
     assert kept.where("lang IS NULL").count() <= 0.1 * foreign.count()
+
+
+def test_fit_holds_little_beside_its_model(monkeypatch):
+    """The driver fits the model: scoring the held-back texts may not hold n-grams of all of them."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop" if k else "klmnopqrstuvwxyz", k=6)) for k in (0, 1) for _ in range(400)]
+    rows = [(" ".join(rng.choices(words[k * 400 : k * 400 + 400], k=4000)), "xy"[k]) for k in (0, 1) for _ in range(40)]
+    plain = [language_id.features(text, language_id.BUCKETS) for text, _ in rows]
+    for (a, b), (c, d) in zip(plain, language_id.packed([text for text, _ in rows]), strict=True):
+        assert (a == c).all() and (b == d).all()
+    model = language_id.train(rows)
+    texts = pa.array([text for text, _ in rows], pa.string())
+    whole = sum(len(text) for text, _ in rows)
+    tracemalloc.start()
+    logits, counts, letters = language_id.logits_of(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * whole, peak  # two copies of the code points at 4 bytes and a span's n-grams
+    assert letters.all() and [model.languages[k] for k in logits.argmax(axis=1)] == [lang for _, lang in rows]
+    monkeypatch.setattr(language_id, "SPAN", 1 << 20)
+    again = language_id.logits_of(texts, model)
+    assert np.allclose(logits, again[0], rtol=1e-12) and (counts == again[1]).all() and (letters == again[2]).all()
