@@ -22,14 +22,11 @@ def _targets(targets: Sequence[float]):
 
 
 def ranked_by_confidence(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows with a confidence, their rank (confidence desc, ordinal asc), hits so far and group size."""
-    rows = df.filter(F.col("confidence").isNotNull())
+    """by, confidence, ordinal, correct of rows with a confidence, their rank (confidence desc, ordinal asc), hits so far and group size."""
+    rows = df.filter(F.col("confidence").isNotNull()).select(*by, "confidence", "ordinal", "correct")
     order = [F.col("confidence").desc(), F.col("ordinal").asc()]
-    ranked = running_totals(
-        rows, by, order, {"rank": F.lit(1).cast("bigint"), "hits": F.col("correct").cast("bigint")}
-    )
-    size = ranked.groupBy(*by).agg(F.max("rank").alias("size"))
-    return attach(ranked, size, by)
+    totals = {"rank": F.lit(1).cast("bigint"), "hits": F.col("correct").cast("bigint")}
+    return running_totals(rows, by, order, totals, {"size": "rank"})
 
 
 def risk_coverage(df: DataFrame, by: Sequence[str]) -> DataFrame:

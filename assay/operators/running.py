@@ -25,12 +25,16 @@ def running_totals(
     by: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add one inclusive running sum per entry of ``totals`` within each group.
 
+    ``whole`` names columns with the sum of a total over the group, known from its slabs.
+
     ``order`` must be a total order inside a group, or the result is not
     deterministic.
     """
+    whole = whole or {}
     keys = [F.col(c) for c in by]
     slabs = df.repartitionByRange(*[k.asc_nulls_first() for k in keys], *order)
     slabs = slabs.withColumn("_slab", F.spark_partition_id())
@@ -46,6 +50,7 @@ def running_totals(
         *[F.col(c).alias(f"_k_{c}") for c in by],
         F.col("_slab").alias("_k_slab"),
         *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in totals],
+        *[F.sum(f"_s_{total}").over(W.partitionBy(*by)).alias(name) for name, total in whole.items()],
     )
     match = F.col("_slab") == F.col("_k_slab")
     for c in by:
@@ -54,7 +59,7 @@ def running_totals(
     ranked = slabs.join(offsets, match)
     for name in totals:
         ranked = ranked.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}"))
-    return ranked.select(*df.columns, *totals)
+    return ranked.select(*df.columns, *totals, *whole)
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:

@@ -111,3 +111,19 @@ def test_shared_ranks(spark):
     tests = spark.createDataFrame([(*k, v) for k, v in p.items()], "left string, right string, all_p_holm double")
     got = {r["judge_id"]: r["shared_rank"] for r in R.shared_ranks(ranked, tests).collect()}
     assert got == {"a": 1, "b": 1, "c": 3, "d": 3}
+
+
+def test_risk_curves_carry_only_what_they_rank(spark, monkeypatch):
+    """The checkpointed slabs hold neither maps nor texts, and the group size needs no second ranking."""
+    from assay.operators import running
+
+    seen = []
+    cut = running.cut_lineage
+    monkeypatch.setattr(running, "cut_lineage", lambda df: seen.append(df.columns) or cut(df))
+    rows = [(k, 0.9 - i / 100, i, i % 2, "long text") for k in ("a", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, confidence double, ordinal long, correct int, text string")
+    got = R.ranked_by_confidence(df, ["k"])
+    assert {(r["k"], r["rank"], r["hits"], r["size"]) for r in got.collect()} == {
+        (k, i + 1, (i + 1) // 2, 5) for k in ("a", None) for i in range(5)
+    }
+    assert len(seen) == 1 and "text" not in seen[0]
