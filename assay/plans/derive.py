@@ -87,16 +87,30 @@ REC = f"""rec AS (
 
 def predictions(recs: DataFrame, seed: int = 42, judges=JUDGES) -> DataFrame:
     """Hash-driven judges of known skill; every outcome depends on its key alone."""
-    judge = F.explode(F.array(*[F.struct(F.lit(j).alias("judge_id"), F.lit(s).alias("skill")) for j, s in judges]))
-    base = recs.select("record_id", "mode", "gold", judge.alias("j")).select("record_id", "mode", "gold", "j.*")
 
-    def u(kind: str, *rest) -> Column:
-        return hash_unit(seed, kind, F.col("judge_id"), F.col("record_id"), *rest)
+    def hashed(j: str, kind: str, *rest) -> Column:
+        return hash_unit(seed, kind, F.lit(j), F.col("record_id"), *rest)
+
+    def drawn(j: str, position: int) -> Column:
+        return F.floor(hashed(j, "w", position) * 100) / 100
+
+    def judge(j: str, skill: float) -> Column:
+        third = F.when(F.col("mode") == "pairwise", drawn(j, 3))
+        return F.struct(
+            F.lit(j).alias("judge_id"), F.lit(skill).alias("skill"), drawn(j, 1).alias("_c1"), drawn(j, 2).alias("_c2"),
+            third.alias("_c3"), hashed(j, "status").alias("_s"), hashed(j, "map").alias("_m"),
+        )
+
+    # rows of the generator: a condition on a label is not pushed below it, which would hash every term of it again
+    base = recs.select("record_id", "mode", "gold", F.explode(F.array(*[judge(j, s) for j, s in judges])).alias("j"))
+    base = base.select("record_id", "mode", "gold", "j.*")
+
+    def u(kind: str) -> Column:
+        return hash_unit(seed, kind, F.col("judge_id"), F.col("record_id"))
 
     def weight(position: int) -> Column:
-        chance = F.floor(u("w", position) * 100) / 100
         target = F.col("gold") == F.try_element_at(F.col("classes"), F.lit(position))
-        return F.lit(BASE_WEIGHTS[position]) + chance + F.when(target, 2 * F.col("skill")).otherwise(0.0)
+        return F.lit(BASE_WEIGHTS[position]) + F.col(f"_c{position}") + F.when(target, 2 * F.col("skill")).otherwise(0.0)
 
     base = base.withColumn("classes", class_order(F.col("mode")))
     base = base.withColumns({"_w1": weight(1), "_w2": weight(2)}).withColumn(
@@ -104,7 +118,7 @@ def predictions(recs: DataFrame, seed: int = 42, judges=JUDGES) -> DataFrame:
     )
     base = base.withColumn("_sum", F.col("_w1") + F.col("_w2") + F.col("_w3"))
     shares = F.slice(F.array(*[F.col(f"_w{i}") / F.col("_sum") for i in (1, 2, 3)]), 1, F.size("classes"))
-    base = base.withColumns({"_p": shares, "_s": u("status"), "_k": u("kind")})
+    base = base.withColumns({"_p": shares, "_k": u("kind")})
     status = (
         F.when(F.col("_s") < 0.90, "ok")
         .when(F.col("_s") < 0.95, "rate_limited")
@@ -128,7 +142,7 @@ def predictions(recs: DataFrame, seed: int = 42, judges=JUDGES) -> DataFrame:
         "record_id",
         F.lit("v1").alias("protocol_version"),
         F.when(ok, F.element_at("classes", F.array_position("_p", F.array_max("_p")).cast("int"))).alias("label"),
-        F.when(ok & (u("map") >= 0.05), F.map_from_arrays("classes", "_p")).alias("probabilities"),
+        F.when(ok & (F.col("_m") >= 0.05), F.map_from_arrays("classes", "_p")).alias("probabilities"),
         "execution_status",
         kind.alias("error_kind"),
         F.when(F.col("execution_status") != "skipped", 50 + 1000 * u("latency")).alias("latency_ms"),
@@ -196,13 +210,23 @@ def bare_records(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).drop("prompt", "candidate_a", "candidate_b")
 
 
+def spread(recs: DataFrame) -> DataFrame:
+    """Records dealt to all tasks by their key.
+
+    The tables are small files of few row groups, but a record is dozens of hashes once
+    the judges are derived, so that work must not stay in the tasks that scan. A join by
+    the key needs no other exchange.
+    """
+    return recs.repartition(int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "record_id")
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Every record x judge row with ``resolved`` and ``correct``.
 
     The judges are derived from the records, so the key join of real prediction
     files is kept here as well.
     """
-    recs = bare_records(spark, sf)
+    recs = spread(bare_records(spark, sf))
     return join_scored(recs, predictions(recs))
 
 

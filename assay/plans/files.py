@@ -33,7 +33,7 @@ _PRED_SQL = (
 @query("SRC1 SNK1", _PRED_SQL)
 def prediction_lines(spark, sf):
     """Half of the rows are written flat, half in an envelope; both come back alike."""
-    recs = D.bare_records(spark, sf)
+    recs = D.spread(D.bare_records(spark, sf))
     rows = D.predictions(recs).withColumn("error", F.when(F.col("error_kind").isNotNull(), F.struct(F.col("error_kind").alias("kind"))))
     fields = ["record_id", "judge_id", "protocol_version", "label", "probabilities", "execution_status", "latency_ms", "error"]
     base = scratch(spark)
