@@ -111,7 +111,7 @@ _LINKS = rank_sql("'7'", "'links'", "l_orderkey", "l_linenumber")
  SELECT l_partkey, l_orderkey, l_linenumber, hash_rank FROM k WHERE rn=1 ORDER BY hash_rank, l_orderkey, l_linenumber LIMIT 200""",
 )
 def first_link_per_part(spark, sf):
-    li = D.table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber").distinct()
+    li = D.table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
     return S.first_per_key(li, "l_partkey", SEED, "links", ["l_orderkey", "l_linenumber"], 200)
 
 
