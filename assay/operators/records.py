@@ -414,15 +414,19 @@ def code_records(df: DataFrame, gold: DataFrame, dataset: str, revision: str) ->
         "candidate_origin": F.col("candidate_origin"),
         "candidate_slot": F.col("candidate_slot"),
     }
-    rows = df.select(
-        content_id(identity).alias("record_id"),
+    # the digest travels as 32 bytes, and texts are put together after the join, so a candidate travels once
+    digest = F.unhex(content_id(identity)).alias("_id")
+    rows = df.select(digest, "task_id", F.col("prompt").alias("_asked"), "candidate_code", "split")
+    labels = gold.where(F.col("record_id").rlike("^[0-9a-f]{64}\\z")).select(F.unhex("record_id").alias("_id"), F.col("label").alias("gold"))
+    return rows.join(labels, "_id").select(
+        F.lower(F.hex("_id")).alias("record_id"),
         F.col("task_id").alias("source_problem_id"),
         F.lit("single").alias("mode"),
-        F.concat("prompt", F.lit("\n\nCandidate completion:\n"), "candidate_code").alias("prompt"),
+        F.concat("_asked", F.lit("\n\nCandidate completion:\n"), "candidate_code").alias("prompt"),
         F.col("candidate_code").alias("candidate_a"),
         "split",
+        "gold",
     )
-    return rows.join(gold.select("record_id", F.col("label").alias("gold")), "record_id")
 
 
 def swap_pairs(df: DataFrame) -> DataFrame:

@@ -269,17 +269,20 @@ def _code_json(x: str) -> str:
  'def f():'||chr(10)||chr(10)||'Candidate completion:'||chr(10)||'return '||l_partkey AS prompt, CASE l_linestatus WHEN 'F' THEN 'pass' ELSE 'fail' END AS gold FROM lineitem""",
 )
 def code_candidate_records(spark, sf):
-    li = D.table(spark, sf, "lineitem")
-    rows = li.select(
+    """Equal lines are dropped by their keys, before these are spelled out, so candidates and labels are distinct."""
+    keys = ["l_orderkey", "l_partkey", "l_linenumber"]
+    label = F.when(F.col("l_linestatus") == "F", "pass").otherwise("fail").alias("label")
+    li = D.table(spark, sf, "lineitem").select(*keys, label)
+    task = [
         F.concat(F.lit("T"), "l_orderkey").alias("task_id"),
         F.lit("def f():").alias("prompt"),
         F.concat(F.lit("return "), "l_partkey").alias("candidate_code"),
         F.lit("fixture").alias("candidate_origin"),
         F.col("l_linenumber").alias("candidate_slot"),
         F.lit("test").alias("split"),
-        F.when(F.col("l_linestatus") == "F", "pass").otherwise("fail").alias("label"),
-    )
-    gold = rows.select(
+    ]
+    rows = li.select(*keys).distinct().select(*task)
+    gold = li.distinct().select(*task, "label").select(
         content_id(
             {
                 "dataset_id": F.lit("code"),
@@ -291,9 +294,9 @@ def code_candidate_records(spark, sf):
             }
         ).alias("record_id"),
         "label",
-    ).distinct()
-    out = G.code_records(rows.drop("label"), gold, "code", "r1")
-    return out.select("record_id", "source_problem_id", "prompt", "gold").distinct()
+    )
+    out = G.code_records(rows, gold, "code", "r1")
+    return out.select("record_id", "source_problem_id", "prompt", "gold")
 
 
 @query(
