@@ -6,8 +6,9 @@ of the number of blocks, so there is no limit to either. For a query both levels
 what they can hold: a cell by the largest angle in it, a shell by its smallest and
 largest one (triangle inequality on angles). A first pass over the query's own shell
 gives it a score to beat; the second pass visits every shell that may hold a better
-one. A task holds one shell and lets its visitors stream past, so rows of the index are
-shuffled once per pass and never copied, however many queries there are. Nothing else
+one. A task holds one shell and lets its visitors stream past in blocks of bounded size,
+so rows of the index are shuffled once per pass and never copied, however many queries
+there are. Nothing else
 is skipped: the result is exact.
 """
 
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -33,7 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 4096
 LEAST_BLOCK_ROWS = 256
-VISIT_ROWS = 4096
+SCORES = 1 << 20  # of visitors and rows of a shell that a task holds at once
+REACHED_ROWS = 1 << 14  # pairs of windows and cells of one batch
 SLACK = 1e-6
 
 
@@ -42,21 +43,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _unit_rows(column: pd.Series) -> np.ndarray:
-    return _unit(np.array(column.tolist(), dtype=np.float64))
-
-
 def _assign(windows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot and the angle to it."""
 
     def near(batches):
-        for pdf in batches:
-            cos = np.clip(_unit_rows(pdf["vec"]) @ pivots.T, -1.0, 1.0)
+        for batch in filter(len, batches):
+            cos = np.clip(_matrix(batch.column("vec")) @ pivots.T, -1.0, 1.0)
             cell = cos.argmax(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), angle=np.arccos(cos[np.arange(len(cell)), cell]))
+            yield _with(batch, cell=cell.astype("int32"), angle=np.arccos(cos[np.arange(len(cell)), cell]))
 
     schema = f"owner {windows.schema['owner'].dataType.simpleString()}, window_index int, vec array<float>, cell int, angle double"
-    return windows.select("owner", F.col("window_index").cast("int"), F.col("vec").cast("array<float>")).mapInPandas(near, schema)
+    return windows.select("owner", F.col("window_index").cast("int"), F.col("vec").cast("array<float>")).mapInArrow(near, schema)
 
 
 def indexed(windows: DataFrame, cells: int | None = None, block_rows: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -87,6 +84,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit(flat.reshape(len(column), -1))
 
 
+def _with(batch: pa.RecordBatch, **more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more.values())], names=[*batch.schema.names, *more])
+
+
 class Shell:
     """One block of the index, its rows ordered by owner."""
 
@@ -96,17 +97,29 @@ class Shell:
         self.owners, self.starts = np.unique(owners[order], return_index=True)
         self.rows = _matrix(table.column("vec").combine_chunks())[order]
 
-    def best(self, visits: pa.RecordBatch, k: int) -> Iterator[tuple[object, object, float]]:
-        """The ``k`` best owners of each visiting window that reach its floor: a window's maximum over theirs."""
-        scores = np.maximum.reduceat(_matrix(visits.column("vec")) @ self.rows.T, self.starts, axis=1)
+    def best(self, visits: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Visitor, owner, score: the ``k`` best owners of each visiting window that reach its floor, by a window's maximum over theirs.
+
+        Blocks of visitors hold SCORES scores at most, however large the shell is.
+        """
+        step = max(1, SCORES // len(self.rows))
+        asked = visits.column("owner").to_numpy(zero_copy_only=False)
         floors = visits.column("floor").to_numpy()
-        for owner, row, floor in zip(visits.column("owner").to_pylist(), scores, floors, strict=True):
-            found = np.flatnonzero((row > 0) & (row >= floor) & (self.owners != owner))
-            if len(found) > k:
-                found = found[row[found] >= np.partition(row[found], -k)[-k]]
-                found = found[np.lexsort((self.owners[found], -row[found]))][:k]
-            for i in found:
-                yield owner, self.owners[i], float(row[i])
+        for lo in range(0, len(asked), step):
+            own = slice(lo, lo + step)
+            scores = np.maximum.reduceat(_matrix(visits.column("vec").slice(lo, step)) @ self.rows.T, self.starts, axis=1)
+            fits = (scores > 0) & (scores >= floors[own, None])
+            same = np.minimum(np.searchsorted(self.owners, asked[own]), len(self.owners) - 1)
+            fits[np.arange(len(same)), same] &= self.owners[same] != asked[own]
+            many = np.flatnonzero(fits.sum(axis=1) > k)
+            if len(many):
+                listed = np.where(fits[many], scores[many], -np.inf)
+                fits[many] &= scores[many] >= np.partition(listed, -k, axis=1)[:, [-k]]
+                for i in many[fits[many].sum(axis=1) > k]:  # ties: the smaller owners, which stand first
+                    found = np.flatnonzero(fits[i])
+                    fits[i, found[np.argsort(-scores[i, found], kind="stable")[k:]]] = False
+            at, to = np.nonzero(fits)
+            yield asked[own][at], self.owners[to], scores[at, to]
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -115,8 +128,8 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "shell", "kind")])
             cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                for at in range(lo, hi, VISIT_ROWS):
-                    yield tuple(int(x) for x in keys[:, at]), batch.slice(at, min(hi, at + VISIT_ROWS) - at)
+                if hi > lo:
+                    yield tuple(int(x) for x in keys[:, lo]), batch.slice(lo, hi - lo)
 
     held, shell = None, None
     for (cell, number, kind), part in groupby(pieces(), key=lambda p: p[0]):
@@ -126,13 +139,11 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for _, visits in part:
             if held != (cell, number):
                 continue
-            found = list(shell.best(visits, k))
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
             owner = visits.schema.field("owner").type
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(columns[0]), owner), pa.array(list(columns[1]), owner), pa.array(list(columns[2]), pa.float64())],
-                names=["source", "candidate", "score"],
-            )
+            for source, candidate, score in shell.best(visits, k):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(source, owner), pa.array(candidate, owner), pa.array(score, pa.float64())], names=["source", "candidate", "score"]
+                )
 
 
 def _visited(rows: DataFrame, visits: DataFrame, k: int) -> DataFrame:
@@ -175,13 +186,13 @@ def vector_search(
 
     def angles(batches):
         """Cells within reach: the angle to the pivot, and the largest angle that may still hold a better score."""
-        for pdf in batches:
-            cos = np.clip(_unit_rows(pdf["vec"]) @ pivots.T, -1.0, 1.0)
-            reach = np.arccos(np.clip(pdf["floor"].to_numpy() - SLACK, -1.0, 1.0)) + SLACK
-            at = np.arccos(cos)
+        step = max(1, REACHED_ROWS // max(1, len(pivots)))
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
+            at = np.arccos(np.clip(_matrix(batch.column("vec")) @ pivots.T, -1.0, 1.0))
+            reach = np.arccos(np.clip(batch.column("floor").to_numpy() - SLACK, -1.0, 1.0)) + SLACK
             within = (ball_high >= at - reach[:, None]) & (ball_low <= at + reach[:, None])
             rows_, cells_ = np.nonzero(within)
-            yield pdf.iloc[rows_].assign(at=at[within], reach=reach[rows_], to=cells_.astype("int32"))
+            yield _with(batch.take(pa.array(rows_)), at=at[within], reach=reach[rows_], to=cells_.astype("int32"))
 
     kind = windows.schema["owner"].dataType.simpleString()
     known = asked.join(floor, "owner", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
@@ -189,7 +200,7 @@ def vector_search(
     own = (F.col("to") == F.col("cell")) & (F.col("to_shell") == F.col("shell"))
     further = (
         known.select("owner", "window_index", "vec", "cell", "shell", "floor")
-        .mapInPandas(
+        .mapInArrow(
             angles,
             f"owner {kind}, window_index int, vec array<float>, cell int, shell int, floor double, at double, reach double, to int",
         )

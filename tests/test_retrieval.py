@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,6 +251,26 @@ def test_vector_index_bounds_hold_and_shells_are_bounded(spark):
     assert placed.join(shells, ["cell", "shell"]).where("angle < low OR angle > high").count() == 0
 
 
+def test_a_shell_holds_few_scores_at_once_and_ties_go_to_the_smaller_owner():
+    """Ten thousand visitors of a whole block, all of one vector: k rows each, without a score of every pair."""
+    n, k = 4096, 3
+    visits = pa.RecordBatch.from_pydict(
+        {"owner": pa.array(range(2, 10_002), pa.int64()), "vec": pa.array([[1.0, 2.0]] * 10_000, pa.list_(pa.float32())), "floor": [0.0] * 10_000}
+    )
+    shell = V.Shell(pa.table({"owner": pa.array(range(n, 0, -1), pa.int64()), "vec": pa.array([[1.0, 2.0]] * n, pa.list_(pa.float32()))}))
+    tracemalloc.start()
+    try:
+        sizes, first = 0, []
+        for source, candidate, _ in shell.best(visits, k):
+            sizes += np.size(source)
+            first = first or list(zip(source[:6].tolist(), candidate[:6].tolist()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first == [(2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (3, 4)] and sizes == 10_000 * k
+    assert peak < 64 << 20
+
+
 def test_vector_search_of_nothing(spark):
     none = spark.createDataFrame([], "owner bigint, window_index int, vec array<float>")
     one = spark.createDataFrame([(1, 0, [1.0, 2.0])], none.schema)
