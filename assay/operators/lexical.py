@@ -5,7 +5,9 @@ one chunk and takes the postings of its span block by block. A block knows its l
 impact of every term, so the sum of these over a query's terms bounds every score in
 the block: a query whose k-th best score so far is larger skips the block. The other
 queries add up the impacts of their terms, in the order of the terms, which makes equal
-documents tie exactly. A span hands on k rows per query; nothing grows with the number
+documents tie exactly. Where a score is weight * impact / damp, the product comes first, as
+it stands: another order rounds otherwise and breaks ties of unequal documents.
+A span hands on k rows per query; nothing grows with the number
 of matching (query, document) pairs.
 """
 
@@ -55,13 +57,14 @@ class Chunk:
         by_text = {str(d): i for d, i in place.items()}
         spots = np.fromiter((place[d] for d in block.column("doc").to_pylist()), np.int64, block.num_rows)
         impact = block.column("impact").to_numpy()
+        damp = block.column("damp").to_numpy() if "damp" in block.column_names else np.ones(len(impact))
         coded = block.column("term").combine_chunks().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(codes, prepend=-1))
         first, last = np.zeros(len(self.terms), np.int64), np.zeros(len(self.terms), np.int64)
         largest = np.zeros(len(self.terms))
         names = coded.dictionary.to_pylist()
-        tops = np.maximum.reduceat(impact, cuts)
+        tops = np.maximum.reduceat(impact / damp, cuts)
         for lo, hi, top in zip(cuts, [*cuts[1:], len(codes)], tops, strict=True):
             at = self.terms.get(names[codes[lo]])
             if at is not None:
@@ -74,7 +77,7 @@ class Chunk:
             scores = np.zeros(len(docs))
             for i in range(self.starts[q], self.ends[q]):
                 lo, hi = first[self.term[i]], last[self.term[i]]
-                scores[spots[lo:hi]] += self.weight[i] * impact[lo:hi]
+                scores[spots[lo:hi]] += self.weight[i] * impact[lo:hi] / damp[lo:hi]
             own = by_text.get(str(self.sources[q]))
             if own is not None:
                 scores[own] = 0
@@ -125,7 +128,7 @@ def searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 def best_documents(postings: DataFrame, weights: DataFrame, n_docs: int, k: int, span_docs: int | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """source, candidate, score: the best documents of each span, at most ``k`` each and never the query itself.
 
-    ``postings``: doc, term, impact (only terms of queries are needed); ``weights``:
+    ``postings``: doc, term, impact and, if impacts are divided, damp (only terms of queries are needed); ``weights``:
     source, term, idf, once per source and term. A query is the document of the same text as its id.
     """
     spark = postings.sparkSession
@@ -148,7 +151,7 @@ def best_documents(postings: DataFrame, weights: DataFrame, n_docs: int, k: int,
         "source", "term", "idf", dealt(source, chunks, 1).alias("chunk"), F.lit(-1).alias("block"), numbers(spans).alias("span")
     )
     held = postings.select(
-        "doc", "term", "impact", numbers(chunks).alias("chunk"), dealt(doc, blocks, 2).alias("block"), dealt(doc, spans, 3).alias("span")
+        "doc", "term", *[c for c in ("impact", "damp") if c in postings.columns], numbers(chunks).alias("chunk"), dealt(doc, blocks, 2).alias("block"), dealt(doc, spans, 3).alias("span")
     )
     cells = (
         asked.unionByName(held, allowMissingColumns=True)
