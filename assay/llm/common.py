@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.session import ensure_checkpoint_dir
+from assay.session import ensure_checkpoint_dir, settings
 
 # The six white space characters of the contracts: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_ROWS = "1000"
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # at the end of a query
 
 
 def ready_workers(df: DataFrame) -> None:
@@ -51,11 +52,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it from there.
 
-    Unlike a checkpoint this computes the plan once and keeps column pruning.
+    Unlike a checkpoint this computes the plan once and keeps column pruning. The
+    shuffles go with the end of the write, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/assay-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, SHUFFLES_GO):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,11 @@ members of a large family of copies, uses them too. The few rows with very many
 blocks join those with their smallest hashes, of which linked rows share one. Which columns are common only
 steers the work. Nothing is capped: every linked pair is compared.
 
+Passages and weak blocks chain rows that are not linked, and the chains grow faster than the input. A cluster of more
+than one row block is therefore split once more, by blocks of its rare columns alone (``finer_keys``).
+What is still larger is compared in pairs of row blocks, for which its sets are copied; the copies are
+made in rounds of bounded size, and the shuffles of a round go when it is written.
+
 Rows with equal sets are one class, compared once; the first of a class in each
 map task stands for it. Null and empty texts have no shingles and link with nothing.
 A text of fewer words than a shingle is one shingle. Rows that repeat an id are
@@ -25,8 +30,8 @@ one document, a row without an id links with nothing. Sets are of 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from math import exp, log, sqrt
+from functools import lru_cache, reduce
+from math import ceil, exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import saved, texts
+from assay.llm.common import SHUFFLES_GO, saved, texts
+from assay.session import Scratch, settings
 
 BLOCK_SHINGLES = 1 << 20  # shingles of a row block
 SLICE_ROWS = 500
@@ -44,6 +50,8 @@ KEYS_AT_ONCE = 1 << 19
 LEAST_RARE = 2  # columns that are not common, in a block that says enough
 COMMON_SHARE = 0.0005  # of all documents; at most (mean set size / share) columns are that common
 COMMON_LEAST = 10
+FINER = 1.4  # blocks of rare columns over those that may differ
+ROUND_SHARE = 0.5  # of the shingles of all rows: so many are copied to pairs of row blocks at once
 COUNTED_AT_ONCE = 1 << 20  # shingles whose documents are counted together in a task
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -154,6 +162,34 @@ def signatures(row: np.ndarray, bounds: Bounds, common: np.ndarray) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def finer_keys(row: np.ndarray, bounds: Bounds, common: np.ndarray) -> np.ndarray:
+    """Keys of which every two linked rows share one at least, of rare columns alone where these say enough.
+
+    Linked rows differ in no more blocks of rare columns than of all. If so few blocks of one of them are weak that
+    one of the equal blocks must say enough, both have its key. Otherwise both of them add their first columns, the rare ones before
+    the common ones: linked rows share one of so many first columns in any order.
+    """
+    out = []
+    rare = np.ones(len(row), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, row), len(common) - 1)] != row
+    said = row[rare]
+    spread = mix(said)
+    for band in bounds.bands(len(row)):
+        most = bounds.differ(bounds.edges[band + 1] - 1, band)
+        blocks = int((most + 1) * FINER) + 1 if most else 1
+        place = (((said * ODD) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+        low = np.bincount(place, (spread & LOW32).astype(np.float64), blocks).astype(np.uint64)
+        high = np.bincount(place, (spread >> np.uint64(32)).astype(np.float64), blocks).astype(np.uint64)
+        key = mix(mix(low + ODD * high) + np.arange(blocks, dtype=np.uint64) * ODD2 + np.uint64(band))
+        strong = np.bincount(place, minlength=blocks) >= LEAST_RARE
+        out.append(key[strong])
+        if (~strong).sum() >= blocks - bounds.differ(len(row), band):
+            first = np.concatenate([said, row[~rare]])[: bounds.prefix(len(row))]
+            out.append(mix(mix(first) * ODD3 + np.uint64(band)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def digest(row: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(row.tobytes())
 
@@ -239,14 +275,41 @@ def neighbours(rows: DataFrame, words: int, num: int, den: int, common: np.ndarr
                 if ids:
                     yield key_batch(ids, found)
 
-    def key_batch(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(found).view(np.int64)),
-                pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found])),
-            ],
-            names=["key", "doc_id"],
-        )
+    return beside(rows.where("doc_id is not null").mapInArrow(keys, "key long, doc_id long"))
+
+
+def finer_neighbours(members: DataFrame, num: int, den: int, common: np.ndarray) -> DataFrame:
+    """As ``neighbours``, of (rep, hashes) rows by their finer keys."""
+    shared = members.sparkSession.sparkContext.broadcast(common)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = Bounds(num, den)
+        for batch in batches:
+            ids, found = [], []
+            for doc, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(doc)
+                found.append(finer_keys(np.frombuffer(held.as_buffer(), np.uint64), bounds, shared.value))
+                if sum(map(len, found)) >= KEYS_AT_ONCE:
+                    yield key_batch(ids, found)
+                    ids, found = [], []
+            if ids:
+                yield key_batch(ids, found)
+
+    return beside(members.select("rep", "hashes").mapInArrow(keys, "key long, doc_id long"))
+
+
+def key_batch(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate(found).view(np.int64)),
+            pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found])),
+        ],
+        names=["key", "doc_id"],
+    )
+
+
+def beside(keyed: DataFrame) -> DataFrame:
+    """(a, b) with a > b: of the (key, doc_id) rows of a key, each id with the smallest."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_doc = None
@@ -264,13 +327,7 @@ def neighbours(rows: DataFrame, words: int, num: int, den: int, common: np.ndarr
             edges = np.unique(np.stack([doc[told], first[told]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
-    dealt = (
-        rows.where("doc_id is not null")
-        .mapInArrow(keys, "key long, doc_id long")
-        .repartition("key")
-        .sortWithinPartitions("key", "doc_id")
-    )
-    return dealt.mapInArrow(pairs, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(pairs, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -378,7 +435,8 @@ def linked(
     classes = saved(
         named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes"
     )
-    near = components(neighbours(rows, words, num, den, common_shingles(counted)))
+    common = common_shingles(counted)
+    near = components(neighbours(rows, words, num, den, common))
     # one member per class; all that stand for a class share every key, so they are in one cluster
     members = saved(
         near.join(named, F.col("node") == F.col("doc_id"))
@@ -387,11 +445,67 @@ def linked(
         .join(classes, "digest"),
         "members",
     )
-    totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
+
+    def in_clusters(rows: DataFrame) -> DataFrame:
+        totals = rows.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
+        return rows.join(totals.where("size > 1"), "cluster")
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                cut = batch.slice(first, SLICE_ROWS)
+                found = [s.tobytes() for s in shingle_sets(cut.column(1), words)]
+                yield pa.RecordBatch.from_arrays(
+                    [cut.column(0), cut.column(2), pa.array(found, pa.binary())], names=["rep", "large", "hashes"]
+                )
+
+    spark = docs.sparkSession
+    with Scratch(spark, "ngram-join") as scratch, settings(spark, SHUFFLES_GO):
+        large = F.col("total") > block_shingles
+        asked = in_clusters(members).groupBy("rep").agg(F.max(large).alias("large"))
+        # texts move once; later steps read the sets of members from here
+        hashes = scratch.write(
+            rows.join(asked, F.col("doc_id") == F.col("rep")).select("rep", "text", "large").mapInArrow(with_sets, "rep long, large boolean, hashes binary"),
+            "hashes",
+        )
+        if in_clusters(members).where(large).limit(1).count():
+            finer = components(finer_neighbours(hashes.where("large"), num, den, common))
+            members = saved(
+                members.join(in_clusters(members).where(large).select("digest", F.lit(True).alias("_large")), "digest", "left")
+                .join(finer, F.col("rep") == F.col("node"), "left")
+                .withColumn("cluster", F.when(F.col("_large"), F.coalesce("root", "rep")).otherwise(F.col("cluster")))
+                .select("digest", "cluster", "n", "rep", "copies"),
+                "finer-members",
+            )
+        compared = compared_members(in_clusters(members), hashes, known.agg(F.sum("n")).first()[0], num, den, block_shingles)
+    roots = components(compared.where("links = 0").select("a", "b"))
+    links = compared.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
+    by_class = (
+        classes.join(roots, F.col("rep") == F.col("node"), "left")
+        .join(links, F.col("rep") == F.col("a"), "left")
+        .select(
+            "digest",
+            F.coalesce("root", "rep").alias("root"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        )
+    )
+    return known.join(by_class, "digest", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
+    )
+
+
+def compared_members(members: DataFrame, hashes: DataFrame, shingles: int, num: int, den: int, block_shingles: int) -> DataFrame:
+    """(a, b, links): stars of linked members and, with a = b, the links per member; ``members`` with total and size of their cluster.
+
+    ``shingles``: of all rows, which bounds what a round copies.
+    """
     # a cluster of more than one row block is cut by size: links join a band or two neighbouring ones
     step = log(den / num) * 1.0001
     band = F.when(F.col("total") <= block_shingles, F.lit(0)).otherwise(F.floor(F.log("n") / step)).cast("long")
-    members = members.join(totals.where("size > 1"), "cluster").withColumn("band", band)
+    members = members.withColumn("band", band)
     cuts = members.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / block_shingles).alias("parts"))
 
     def beside(offset: int, name: str) -> DataFrame:
@@ -427,31 +541,9 @@ def linked(
         F.transform(numbers("above"), lambda j: cell(at, at + 1, i, j, F.lit(0))),
         F.transform(numbers("below"), lambda j: cell(at - 1, at, j, i, F.lit(1))),
     )
-    wanted = placed.select("rep", "copies", cells.alias("cells"))
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, SLICE_ROWS):
-                cut = batch.slice(first, SLICE_ROWS)
-                found = [s.view(np.int64) for s in shingle_sets(cut.column(1), words)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        cut.column(0),
-                        cut.column(2),
-                        cut.column(3),
-                        pa.array([f.tobytes() for f in found], pa.binary()),
-                    ],
-                    names=["rep", "copies", "cells", "hashes"],
-                )
-
-    cell_type = wanted.schema["cells"].dataType.simpleString()
-    held = (
-        rows.join(wanted, F.col("doc_id") == F.col("rep"))
-        .select("rep", "text", "copies", "cells")
-        .mapInArrow(with_sets, f"rep long, copies long, cells {cell_type}, hashes binary")
-        .select("rep", "copies", "hashes", F.explode("cells").alias("cell"))
-        .select("cell.*", "rep", "copies", "hashes")
-    )
+    wanted = saved(placed.select("rep", "copies", "n", cells.alias("cells")), "cells")
+    copied = wanted.agg(F.sum(F.col("n") * F.size("cells"))).first()[0] or 0
+    rounds = max(1, ceil(copied / max(block_shingles, ROUND_SHARE * (shingles or 0))))
 
     def compare(group: pa.Table) -> pa.Table:
         bounds = Bounds(num, den)
@@ -469,29 +561,17 @@ def linked(
         counts = [0] * len(stars) + list(links.values())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(counts, pa.int64())})
 
-    compared = saved(
-        held.groupBy("cluster", "low_band", "high_band", "low", "high").applyInArrow(
-            compare, "a long, b long, links long"
-        ),
-        "links",
-    )
-    roots = components(compared.where("links = 0").select("a", "b"))
-    links = compared.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
-    by_class = (
-        classes.join(roots, F.col("rep") == F.col("node"), "left")
-        .join(links, F.col("rep") == F.col("a"), "left")
-        .select(
-            "digest",
-            F.coalesce("root", "rep").alias("root"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    def of_round(i: int) -> DataFrame:
+        mine = F.filter("cells", lambda c: F.pmod(F.xxhash64(c["cluster"], c["low_band"], c["high_band"], c["low"], c["high"]), F.lit(rounds)) == i)
+        held = (
+            hashes.join(wanted.withColumn("cells", mine).where(F.size("cells") > 0), "rep")
+            .select("rep", "copies", "hashes", F.explode("cells").alias("cell"))
+            .select("cell.*", "rep", "copies", "hashes")
         )
-    )
-    return known.join(by_class, "digest", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
-    )
+        return held.groupBy("cluster", "low_band", "high_band", "low", "high").applyInArrow(compare, "a long, b long, links long")
+
+    done = [saved(of_round(i), "links") for i in range(rounds)]
+    return reduce(DataFrame.unionByName, done)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
